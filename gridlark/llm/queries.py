@@ -5,9 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridlark.llm.bpe import decode, encode
 from gridlark.llm.common import table
+from gridlark.llm.media import read_media, text_to_media
 from gridlark.llm.quality import quality
+from gridlark.llm.token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    stored = text_to_media(docs, keep=["doc_id", "n_bytes"])
+    return read_media(stored, keep=["doc_id", "n_bytes"])
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return decode(ids).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +41,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_media_columns": op2_media_columns,
+        "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
 
