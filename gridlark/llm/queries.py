@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.bpe import decode, encode
 from gridlark.llm.common import table
 from gridlark.llm.media import read_media, text_to_media
 from gridlark.llm.quality import quality
+from gridlark.llm.secret_scan import KINDS, secret_scan, spans_string
 from gridlark.llm.token_counts import token_counts
 
 
@@ -24,6 +25,21 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(stored, keep=["doc_id", "n_bytes"])
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["rank"] < len(KINDS))
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
+        F.sha2(spans_string(base).cast("binary"), 256).alias("base_sha256"),
+        spans_string(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return decode(ids).select(
@@ -43,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_media_columns": op2_media_columns,
+        "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
