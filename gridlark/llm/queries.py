@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.bpe import decode, encode
 from gridlark.llm.common import table
+from gridlark.llm.licenses import license_scan
 from gridlark.llm.media import read_media, text_to_media
 from gridlark.llm.quality import quality
 from gridlark.llm.secret_scan import KINDS, secret_scan, spans_string
@@ -25,6 +26,21 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(stored, keep=["doc_id", "n_bytes"])
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "base", "licenses")
+    labels = lambda *of: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*(F.transform(x, lambda d: d["label"]) for x in of))))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda d: d["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda d: d["start"])).cast("long").alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("base", "licenses").alias("labels"),
+        (F.coalesce(F.array_max(F.transform("licenses", lambda d: d["priority"])), F.lit(0)) / 5).alias("score"),
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     base = F.filter("secrets", lambda s: s["rank"] < len(KINDS))
@@ -59,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_media_columns": op2_media_columns,
+        "op3_license_scan": op3_license_scan,
         "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
