@@ -13,6 +13,7 @@ from gridlark.llm.licenses import license_scan
 from gridlark.llm.media import read_media, text_to_media
 from gridlark.llm.quality import quality
 from gridlark.llm.secret_scan import KINDS, secret_scan, spans_string
+from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.token_counts import token_counts
 
 
@@ -41,6 +42,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     base = F.filter("secrets", lambda s: s["rank"] < len(KINDS))
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_media_columns": op2_media_columns,
         "op3_license_scan": op3_license_scan,
+        "op6_simhash": op6_simhash,
         "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
