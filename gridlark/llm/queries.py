@@ -14,6 +14,7 @@ from gridlark.llm.media import read_media, text_to_media
 from gridlark.llm.quality import quality
 from gridlark.llm.secret_scan import KINDS, secret_scan, spans_string
 from gridlark.llm.simhash import near_duplicates
+from gridlark.llm.suffixes import remove_repeats
 from gridlark.llm.token_counts import token_counts
 
 
@@ -42,6 +43,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_media_columns": op2_media_columns,
         "op3_license_scan": op3_license_scan,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
