@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.bpe import decode, encode
 from gridlark.llm.common import table
+from gridlark.llm.html_text import extract_text
 from gridlark.llm.licenses import license_scan
 from gridlark.llm.media import read_media, text_to_media
 from gridlark.llm.quality import quality
@@ -68,6 +69,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return decode(ids).select(
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op7_secret_scan": op7_secret_scan,
+        "op8_html_text": op8_html_text,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
