@@ -12,6 +12,7 @@ from gridlark.llm.common import table
 from gridlark.llm.html_text import extract_text
 from gridlark.llm.licenses import license_scan
 from gridlark.llm.media import read_media, text_to_media
+from gridlark.llm.packing import pack_documents
 from gridlark.llm.quality import quality
 from gridlark.llm.secret_scan import KINDS, secret_scan, spans_string
 from gridlark.llm.simhash import near_duplicates
@@ -44,6 +45,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_media_columns": op2_media_columns,
         "op3_license_scan": op3_license_scan,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op7_secret_scan": op7_secret_scan,

@@ -57,7 +57,9 @@ class Splitter:
 
     def chunks(self, text: str, special: bool = True) -> list:
         """Space-free chunks in order; an added token is its id (an int)."""
-        if _KNOWN.fullmatch(text) and not (special and self._added.search(text)):
+        if special and (plain := self.plain_chunks(text)) is not None:
+            return plain
+        if not special and _KNOWN.fullmatch(text):
             return text.lower().split()
         out: list = []
         at = 0
@@ -67,6 +69,10 @@ class Splitter:
             at = m.end()
         return out + self._odd(text[at:])
 
+    def plain_chunks(self, text: str) -> list[str] | None:
+        """chunks(), or None for a text that the library must normalise and split."""
+        return text.lower().split() if _KNOWN.fullmatch(text) and not self._added.search(text) else None
+
     def _odd(self, text: str) -> list[str]:
         return [c for c in self.library.normalizer.normalize_str(text).split(" ") if c]
 
