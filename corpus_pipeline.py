@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ensure_checkpoint_dir, table
+from gridlark.llm.common import SPACE, ensure_checkpoint_dir, table
+from gridlark.llm.packing import pack_documents
 from gridlark.llm.quality import quality
+from gridlark.llm.secret_scan import redacted, secret_scan
+from gridlark.llm.simhash import near_duplicates
+from gridlark.llm.suffixes import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,8 +23,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of the smallest id."""
+    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages; those of which no word is left go.
+
+    A passage's border can cut a character; its bytes are left out.  n_chars is counted anew.
+    """
+    found = remove_repeats(docs, keep=["lang", "source"], as_text=True).withColumnRenamed("remaining", "text")
+    return found.where(F.col("text").rlike(f"[^{SPACE}]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of each secret.  n_chars is counted anew."""
+    return redacted(secret_scan(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every document's place in the sequences."""
+    return pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("suffix_array_dedup", suffix_dedup_stage),
+    ("secret_scan", secrets_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: Hashing by XXH64 and by buckets has no DuckDB form; tests hold run() against brute force.

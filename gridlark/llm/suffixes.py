@@ -136,16 +136,18 @@ def _pack(first: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndar
     return first << 16 | windows << 8 | anchor
 
 
-def _key(df: DataFrame) -> DataFrame:
-    """id, text_hash, text (never null): rows with one id and one text are alike in everything."""
-    return df.select(F.col("id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+def _key(df: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
+    """id, text_hash, text (never null), kept: rows with one id and one text are alike in all that counts here."""
+    kept = F.struct(*keep) if keep else F.lit(None).cast("boolean")
+    rows = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), kept.alias("kept"))
+    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "kept")
 
 
 def _joined(rows: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
     """id, text_hash, text and column of other; a null id equals a null id."""
     other = other.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return rows.join(other, on, how).select("id", "text_hash", "text", column)
+    return rows.join(other, on, how).select("id", "text_hash", "text", "kept", column)
 
 
 def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -183,7 +185,7 @@ _PART = T.StructType([T.StructField("start", T.LongType()), T.StructField("end",
 
 
 def _sent(lists: DataFrame, length: int) -> DataFrame:
-    """Rows of _SENT with id and text_hash, from (id, text_hash, text, runs)."""
+    """Rows of _SENT with id and text_hash, from (id, text_hash, text, kept, runs)."""
     names = [n for n, _ in _SENT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,7 @@ def _sent(lists: DataFrame, length: int) -> DataFrame:
             crowded: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for k in range(batch.num_rows):
                 text = batch.column(2)[k].as_py().encode()
-                for r in batch.column(3)[k].as_py():
+                for r in batch.column(4)[k].as_py():
                     first, windows, anchor = r["place"] >> 16, r["place"] >> 8 & 255, r["place"] & 255
                     if not r["crowded"]:
                         rows.append((r["gram"], 0, 0, first, windows, anchor, text[first : first + windows + length - 1]))
@@ -328,7 +330,7 @@ def _sort(length: int):
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, gather: int = GATHER) -> DataFrame:
     """(id, text_hash, start, end): byte ranges, overlaps allowed, whose union is what repeated windows cover.
 
-    rows: id, text_hash, text, as _key gives them.
+    rows: as _key gives them.
     """
     runs = _runs(rows, length, gram)
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
@@ -363,25 +365,31 @@ def _remove(text: bytes, ranges: list) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, gather: int = GATHER) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept), one row for each row of df.
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, gather: int = GATHER, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, remaining) and the columns keep, one row for each row of df.
 
-    kept (binary) is the UTF-8 text without each byte that a repeated window of
-    length bytes covers.  Null and empty texts, and any shorter than length,
-    lose nothing.  Rows with equal ids are each kept and judged by their texts.
+    remaining is the UTF-8 text without each byte that a repeated window of
+    length bytes covers: binary, or as_text a string, without the bytes of
+    characters that the border of a removed range cuts.  Null and empty texts, and any shorter than
+    length, lose nothing.  Rows with equal ids are each kept and judged by
+    their texts.
     """
-    rows = _key(df.select(F.col(id).alias("id"), F.col(text).alias("text")))
+    rows = _key(df, id, text, keep or [])
     ranges = repeated_ranges(rows, length, gram, gather).groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    out = T.StructType([rows.schema["id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    numbers = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    out = T.StructType([rows.schema["id"], rows.schema["kept"], *numbers, T.StructField("remaining", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for t, found in zip(batch.column(1), batch.column(2), strict=True):
+            for t, found in zip(batch.column(1), batch.column(3), strict=True):
                 body = t.as_py().encode()
                 made.append((len(body), *_remove(body, [(r["start"], r["end"]) for r in found.as_py() or ()])))
-            n, kept, removed, spans = zip(*made, strict=True) if made else ((), (), (), ())
-            columns = [*(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], out.names)
-
-    return _joined(rows, ranges, "ranges", "left").select("id", "text", "ranges").mapInArrow(run, out).withColumnRenamed("id", id)
+            n, left, removed, spans = zip(*made, strict=True) if made else ((), (), (), ())
+            rest = pa.array([x.decode(errors="ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
+            columns = [*(pa.array(x, pa.int64()) for x in (n, removed, spans)), rest]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], out.names)
+
+    found = _joined(rows, ranges, "ranges", "left").select("id", "text", "kept", "ranges").mapInArrow(run, out)
+    extra = ["kept.*"] if keep else []
+    return found.select(F.col("id").alias(id), "n_bytes", "n_removed", "n_spans", "remaining", *extra)
