@@ -333,9 +333,10 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, gat
     rows: as _key gives them.
     """
     runs = _runs(rows, length, gram)
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Sums are stored before they are joined: only then both sides of the join are exchanges, whose skewed partitions Spark splits.
+    grams = stored(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     shared = stored(runs.join(grams, "gram"))
-    kinds = shared.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash", "place")).alias("one"))
+    kinds = stored(shared.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash", "place")).alias("one")))
     whole = shared.join(kinds.where("n > 1").select("gram", "run"), ["gram", "run"])
     first = F.shiftright("place", 16)
     ranges = whole.select("id", "text_hash", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("end"))
