@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridlark.llm.wordsplit import Cache, default_path, slabs, splitter
+from gridlark.llm.wordsplit import Cache, default_path, joined_ids, slabs, splitter
 
 _NONE = np.int64(1) << 40
 
@@ -45,8 +45,8 @@ class WordBpe:
         self.last = np.array([vocab[self.split.char_of[b] + end] for b in range(256)], np.int64)
         self.cache = Cache()
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word; words must not be empty."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, little-endian, 4 bytes each; words must not be empty."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[flat]
@@ -76,7 +76,8 @@ class WordBpe:
         ids, word = np.concatenate(done_ids), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         counts = np.bincount(word, minlength=len(words))
-        return np.split(ids[order].astype("<u4"), np.cumsum(counts)[:-1])
+        flat, ends = ids[order].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _look_up(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of the pairs that start at the places at; _NONE where no merge fits."""
@@ -89,14 +90,13 @@ class WordBpe:
     def _chunk_ids(self, chunks: list) -> list[bytes]:
         parts = [[c] if isinstance(c, int) else self.split.words(c) for c in chunks]
         new = list({w for p in parts for w in p if isinstance(w, bytes)})
-        of = dict(zip(new, (x.tobytes() for x in self.encode_words(new)), strict=True)) if new else {}
+        of = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
         return [b"".join(of[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in p) for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        lists = [self.split.chunks(t) for t in texts]
-        of = self.cache.filled(lists, self._chunk_ids)
-        return [b"".join(map(of.__getitem__, chunks)) for chunks in lists]
+        odd = lambda t: b"".join(self._chunk_ids(self.split.chunks(t)))
+        return joined_ids(self.split, texts, self.cache, self._chunk_ids, odd)
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined by spaces: the file names no decoder."""

@@ -23,6 +23,7 @@ enough salts that no task sorts more than ``PER_SALT`` pieces of a length.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.llm.common import stored
-from gridlark.llm.wordsplit import Cache, default_path, slabs, splitter
+from gridlark.llm.wordsplit import Cache, default_path, joined_ids, slabs, splitter
 
 CAPACITY = 2048
 GROUPS = 1024
@@ -46,21 +47,29 @@ PER_SALT = 500_000
 
 
 class LibraryIds:
-    """Ids by the tokenizers library, each distinct chunk of well-known characters encoded once."""
+    """Ids by the tokenizers library, each distinct word of well-known characters encoded once."""
 
     def __init__(self, path: str):
         self.split = splitter(path)
-        self.cache = Cache()
+        self.model = self.split.library.model
+        self.chunks, self.words = Cache(), Cache()
 
-    def _of(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.split.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """By the library's model; its normaliser and splitter have nothing left to do for a word."""
+        ids = [[t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.split.char_table))] for w in words]
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        parts = list(map(self.split.words, chunks))
+        of = self.words.filled(parts, self._words)
+        return [of[p[0]] if len(p) == 1 else b"".join(map(of.__getitem__, p)) for p in parts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.split.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain = [self.split.plain_chunks(t) for t in texts]
-        of = self.cache.filled([c for c in plain if c is not None], self._of)
-        whole = lambda t: np.array(self.split.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if c is None else b"".join(map(of.__getitem__, c)) for t, c in zip(texts, plain, strict=True)]
+        return joined_ids(self.split, texts, self.chunks, self._chunks, self._whole)
 
 
 @lru_cache(maxsize=2)
