@@ -73,7 +73,7 @@ class Grid:
             for c in self.columns:
                 origin = level + 1 >= c.depth or before is None or before.path[: level + 1] != c.path[: level + 1] or before.depth <= level
                 for k in range(len(self.aggregates)):
-                    row.append(GridCell(self.name(c, level), origin and k == 0 or c.depth in (0, level + 1) and origin, True))
+                    row.append(GridCell(self.name(c, level), origin and k == 0, True))
                 before = c
             out.append(row)
         head = [GridCell(self.row_labels[k] if k < len(self.row_labels) else None, header=True) for k in range(corner)]

@@ -55,7 +55,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions())
     reader = reader.option("encoding", options.encoding).option("mode", "PERMISSIVE").option("header", options.has_header).option("enforceSchema", True)
     reader = reader.option("ignoreLeadingWhiteSpace", options.trim_cells).option("ignoreTrailingWhiteSpace", options.trim_cells).option("emptyValue", "").option("nullValue", "￾")
     if skip:
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         body = whole.select(F.regexp_replace("value", rf"^(?:[^\n]*\n){{{skip}}}", "").alias("value"))
         split = body.select(F.explode(F.split("value", r"\r\n|\n|\r")).alias("value")).where("value <> ''")
         if options.has_header:
@@ -107,7 +107,7 @@ def read_json(spark: SparkSession, path: str, options: JsonOptions = JsonOptions
     Raises for a document that isn't one.
     """
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    text = spark.read.option("wholetext", True).text(path).select(F.substring(F.ltrim("value"), 1, 100_000).alias("value")).first()
+    text = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 100_000).alias("value")).first()
     if text is None or not text[0].startswith("["):
         raise ValueError("expected a JSON array of objects")
     return flattened(df.select(*_in_order(df, _head_objects(text[0][1:]))), options)
