@@ -46,8 +46,9 @@ LENGTH = 200
 GRAM = 50
 #: Different runs of a gram that a task may gather.
 GATHER = 2000
-#: Windows that are looked at in one numpy step.
-SLAB = 1 << 19
+#: Windows that are looked at in one numpy step, and documents that a task turns into Python objects at a time.
+SLAB = 1 << 17
+ROWS = 500
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -132,6 +133,12 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def _pack(first: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return first << 16 | windows << 8 | anchor
 
@@ -189,7 +196,7 @@ def _sent(lists: DataFrame, length: int) -> DataFrame:
     names = [n for n, _ in _SENT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows: list[tuple] = []
             of: list[int] = []
             crowded: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -254,7 +261,7 @@ def repeated_windows(group: np.ndarray, pieces: list[bytes], windows: np.ndarray
 
 
 #: Windows that are sorted together.
-_SORTED = 1 << 19
+_SORTED = 1 << 18
 
 
 def _sort(length: int):
@@ -381,7 +388,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     out = T.StructType([rows.schema["id"], rows.schema["kept"], *numbers, T.StructField("remaining", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             made = []
             for t, found in zip(batch.column(1), batch.column(3), strict=True):
                 body = t.as_py().encode()
