@@ -237,7 +237,13 @@ class Cube:
     @cached_property
     def cells(self) -> DataFrame:
         """rd, r0.., cd, c0.., and a column for each base and derived aggregate: one row for each cell with facts."""
-        finest, states, merge = self._finest
+        return self._rolled_up(*self._finest)
+
+    def over_groups(self, finest: DataFrame) -> DataFrame:
+        """table() from finest groups that were aggregated elsewhere, as a stream's are."""
+        return self._labelled_cells(self._rolled_up(finest, self._finest[1], True), lambda i: i)
+
+    def _rolled_up(self, finest: DataFrame, states: dict, merge: bool) -> DataFrame:
         rows, columns = self._rows, self._columns
         sets = [rows.names(i) + columns.names(j) for i in range(rows.levels + 1) for j in range(columns.levels + 1)]
         keys = rows.names() + columns.names()
@@ -404,7 +410,10 @@ class Cube:
         layout = [a for a in self.spec.aggregates if isinstance(a, LayoutAggregate)]
         if layout:
             raise ValueError("layout aggregates need the grid: see result()")
-        return self.cells.select(*self._labelled(of), *(F.col(self._name(a)).alias(of(a.id)) for a in self.spec.aggregates))
+        return self._labelled_cells(self.cells, of)
+
+    def _labelled_cells(self, cells: DataFrame, of) -> DataFrame:
+        return cells.select(*self._labelled(of), *(F.col(self._name(a)).alias(of(a.id)) for a in self.spec.aggregates))
 
     def _labelled(self, of) -> list[Column]:
         named = []
