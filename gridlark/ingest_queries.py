@@ -89,7 +89,7 @@ def import_nullify(spark, sf_dir):
     return facts.rows()
 
 
-@_query("SELECT 'value' AS \"column\", count(*) FILTER (value > 400)::BIGINT AS cells, count(*)::BIGINT AS all_rows FROM events")
+@_query("SELECT 'value' AS \"column\", count(*) FILTER (value > 400)::BIGINT AS cells, count(*)::BIGINT AS all_rows FROM events HAVING cells > 0")
 def import_nullify_report(spark, sf_dir):
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(F.col("value") <= 400, F.col("value").cast("string")).otherwise("much").alias("value"))
     _, report = load_facts(raw, infer_schema(raw.where("value <> 'much'")), "nullify")

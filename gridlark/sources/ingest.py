@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.operators.facts import ColumnType, FactTable
-from gridlark.sources.schema import DATE_FORMATS, NULL_VALUES, STANDARD, ColumnSpec, DatePattern, NumberSyntax, Schema
+from gridlark.sources.schema import DATE_FORMATS, NULL_VALUES, STANDARD, ColumnSpec, DatePattern, NumberSyntax, Schema, trimmed
 
 #: Narrowest first.
 _ORDER = (ColumnType.INTEGER, ColumnType.NUMBER, ColumnType.BOOLEAN, ColumnType.DATE, ColumnType.DATE_TIME, ColumnType.TEXT)
@@ -31,19 +31,26 @@ def _inner(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"x{k}" for k in range(len(df.columns))))
 
 
+def _prepared(raw: DataFrame, specs: dict[int, ColumnSpec]) -> DataFrame:
+    """raw with, for each column's place, its cleaned text p and the same, trimmed, t."""
+    cleaned = raw.withColumns({f"p{k}": s.cleaned(F.col(f"x{k}").cast("string")) for k, s in specs.items()})
+    return cleaned.withColumns({f"t{k}": trimmed(F.col(f"p{k}")) for k in specs})
+
+
 def infer_schema(df: DataFrame, options: InferenceOptions = InferenceOptions()) -> Schema:
     """The narrowest type that fits every value of the first rows, by one aggregation; no value at all is text."""
-    sample = _inner(df.limit(options.sample_rows))
+    texts = {
+        k: ColumnSpec(f.name, ColumnType.TEXT, number_syntax=options.number_syntax, null_values=options.null_values)
+        for k, f in enumerate(df.schema.fields)
+        if isinstance(f.dataType, T.StringType)
+    }
+    sample = _prepared(_inner(df.limit(options.sample_rows)), texts)
     tests: dict[str, Column] = {}
-    for k, f in enumerate(df.schema.fields):
-        if not isinstance(f.dataType, T.StringType):
-            continue
-        spec = ColumnSpec(f.name, ColumnType.TEXT, number_syntax=options.number_syntax, null_values=options.null_values)
-        raw = F.col(f"x{k}")
-        text = F.trim(spec.cleaned(raw))
+    for k, spec in texts.items():
+        present, text = F.col(f"p{k}"), F.col(f"t{k}")
         every = lambda parsed, text=text: F.coalesce(F.bool_and(F.when(text.isNotNull(), parsed.isNotNull())), F.lit(False))
         for kind in (ColumnType.INTEGER, ColumnType.NUMBER, ColumnType.BOOLEAN):
-            tests[f"{k} {kind.value}"] = every(spec.parsed(raw, kind))
+            tests[f"{k} {kind.value}"] = every(spec.value_of(present, text, kind))
         for j, pattern in enumerate(options.date_formats):
             tests[f"{k} date {j}"] = every(DatePattern(pattern).parse(text))
     found = sample.agg(*(c.alias(n) for n, c in tests.items())).first().asDict() if tests else {}
@@ -87,13 +94,13 @@ class ImportReport:
     truncated: bool = False
 
 
-def _value(spec: ColumnSpec, raw: Column, kind: T.DataType) -> Column:
+def _value(spec: ColumnSpec, k: int, kind: T.DataType) -> Column:
     """A text cell parsed; a typed one cast where nothing is lost."""
     if isinstance(kind, T.StringType):
-        return spec.parsed(raw)
+        return spec.value_of(F.col(f"p{k}"), F.col(f"t{k}"))
     if spec.type is ColumnType.TEXT:
-        return raw.cast("string")
-    return raw.try_cast(spec.type.spark)
+        return F.col(f"x{k}").cast("string")
+    return F.col(f"x{k}").try_cast(spec.type.spark)
 
 
 def load_facts(df: DataFrame, schema: Schema | None = None, on_mismatch: str = "widen", max_issues: int = 100) -> tuple[FactTable, ImportReport]:
@@ -106,13 +113,14 @@ def load_facts(df: DataFrame, schema: Schema | None = None, on_mismatch: str = "
     if on_mismatch not in ("widen", "nullify", "fail"):
         raise ValueError("a mismatch can widen, nullify or fail")
     schema = schema or infer_schema(df)
-    raw = _inner(df)
     place = {n: k for k, n in enumerate(df.columns)}
     specs = [s for s in schema.included if s.name in place]
-    present = {s.name: s.cleaned(F.col(f"x{place[s.name]}").cast("string")) for s in specs}
-    misfit = {s.name: present[s.name].isNotNull() & _value(s, F.col(f"x{place[s.name]}"), df.schema[place[s.name]].dataType).isNull() for s in specs}
+    raw = _prepared(_inner(df), {place[s.name]: s for s in specs})
+    present = {s.name: F.col(f"p{place[s.name]}") for s in specs}
+    of = lambda s: _value(s, place[s.name], df.schema[place[s.name]].dataType)
+    misfit = {s.name: present[s.name].isNotNull() & of(s).isNull() for s in specs if s.type is not ColumnType.TEXT}
     counts = raw.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(f"m{k}") for k, c in enumerate(misfit.values()))).first()
-    bad = {s.name: counts[f"m{k}"] for k, s in enumerate(specs) if counts[f"m{k}"]}
+    bad = {n: counts[f"m{k}"] for k, n in enumerate(misfit) if counts[f"m{k}"]}
     issues = _issues(raw, {n: (misfit[n], present[n]) for n in bad}, max_issues + 1)
     if bad and on_mismatch == "fail":
         raise ImportFailed(f"{issues[0][0]}: {issues[0][1]!r} doesn't fit")
@@ -120,9 +128,9 @@ def load_facts(df: DataFrame, schema: Schema | None = None, on_mismatch: str = "
     if on_mismatch == "widen":
         for k, s in enumerate(specs):
             if s.name in bad:
-                widened[s.name] = _widened(raw, F.col(f"x{place[s.name]}").cast("string"), s)
+                widened[s.name] = _widened(raw, place[s.name], s)
                 specs[k] = s.copy_with(type=widened[s.name], format=None if widened[s.name] is not s.type else s.format)
-    values = [_value(s, F.col(f"x{place[s.name]}"), df.schema[place[s.name]].dataType).cast(s.type.spark).alias(s.name) for s in specs]
+    values = [of(s).cast(s.type.spark).alias(s.name) for s in specs]
     facts = FactTable.of(raw.select(*values), {s.name: s.label for s in specs if s.label})
     nullified = bad if on_mismatch == "nullify" else {}
     return facts, ImportReport(counts["rows"], nullified, widened, tuple(issues[:max_issues]), len(issues) > max_issues)
@@ -136,8 +144,9 @@ def _issues(raw: DataFrame, of: dict[str, tuple[Column, Column]], limit: int) ->
     return [(r["column"], r["raw"]) for r in rows]
 
 
-def _widened(raw: DataFrame, column: Column, spec: ColumnSpec) -> ColumnType:
+def _widened(raw: DataFrame, k: int, spec: ColumnSpec) -> ColumnType:
     loose = spec.copy_with(format=None)
+    present, text = F.col(f"p{k}"), F.col(f"t{k}")
     options = [t for t in _ORDER if spec.type.can_widen_to(t) and t is not spec.type]
-    fits = raw.agg(*(F.coalesce(F.bool_and(F.when(spec.cleaned(column).isNotNull(), loose.parsed(column, t).isNotNull())), F.lit(True)).alias(t.value) for t in options)).first()
+    fits = raw.agg(*(F.coalesce(F.bool_and(F.when(present.isNotNull(), loose.value_of(present, text, t).isNotNull())), F.lit(True)).alias(t.value) for t in options)).first()
     return next((t for t in options if fits[t.value]), ColumnType.TEXT)

@@ -145,11 +145,14 @@ class ColumnSpec:
 
     def parsed(self, raw: Column, as_type: ColumnType | None = None) -> Column:
         """The text's value; null where it is missing or doesn't fit."""
-        kind = as_type or self.type
         present = self.cleaned(raw)
+        return self.value_of(present, trimmed(present), as_type)
+
+    def value_of(self, present: Column, text: Column, as_type: ColumnType | None = None) -> Column:
+        """parsed() from the cleaned text and the same, trimmed: columns, so that neither is worked out for each test."""
+        kind = as_type or self.type
         if self.parser:
             return self.parser(present).try_cast(kind.spark)
-        text = trimmed(present)
         if kind is ColumnType.TEXT:
             return present
         if kind is ColumnType.INTEGER:
