@@ -46,6 +46,8 @@ LENGTH = 200
 GRAM = 50
 #: Different runs of a gram that a task may gather.
 GATHER = 2000
+#: Tasks that one gram's runs are dealt to.
+SALTS = 8
 #: Windows that are looked at in one numpy step, and documents that a task turns into Python objects at a time.
 SLAB = 1 << 17
 ROWS = 500
@@ -334,17 +336,27 @@ def _sort(length: int):
     return run
 
 
+def _spread_join(runs: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """runs whose keys are in sums.
+
+    A hot key is dealt to SALTS tasks, each of which gets its row of sums; as
+    sums are shuffled anew for that, Spark can split what is still uneven.
+    """
+    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("id", "text_hash", "place"), F.lit(SALTS)).cast("int"))
+    every = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [*keys, "_salt"]).drop("_salt")
+
+
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, gather: int = GATHER) -> DataFrame:
     """(id, text_hash, start, end): byte ranges, overlaps allowed, whose union is what repeated windows cover.
 
     rows: as _key gives them.
     """
     runs = _runs(rows, length, gram)
-    # Sums are stored before they are joined: only then both sides of the join are exchanges, whose skewed partitions Spark splits.
-    grams = stored(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    shared = stored(runs.join(grams, "gram"))
-    kinds = stored(shared.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash", "place")).alias("one")))
-    whole = shared.join(kinds.where("n > 1").select("gram", "run"), ["gram", "run"])
+    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    shared = stored(_spread_join(runs, grams, ["gram"]))
+    kinds = shared.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash", "place")).alias("one"))
+    whole = _spread_join(shared, kinds.where("n > 1").select("gram", "run"), ["gram", "run"])
     first = F.shiftright("place", 16)
     ranges = whole.select("id", "text_hash", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("end"))
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
