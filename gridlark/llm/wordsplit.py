@@ -30,7 +30,7 @@ _KNOWN = re.compile(rf"[\t-\r\x20-\x7e{_LETTERS}{_PUNCTUATION}]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 #: Distinct chunks in a generation of a worker's cache.  It changes speed only.
-CACHE = 500_000
+CACHE = 200_000
 #: Bytes of text that are worked on at once.
 SLAB = 4_000_000
 
