@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import SPACE, ensure_checkpoint_dir, table
+from gridlark.llm.near_copies import near_copies
 from gridlark.llm.packing import pack_documents
 from gridlark.llm.quality import quality
 from gridlark.llm.secret_scan import redacted, secret_scan
-from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.suffixes import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id")
+    """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), the document of the smallest id."""
+    gone = near_copies(docs).where("doc_id != component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
