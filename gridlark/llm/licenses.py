@@ -123,8 +123,9 @@ def rules() -> list[tuple[int, str, str, str]]:
 
 
 def numbered(pattern: str) -> str:
-    """pattern, over words with one space between, for words that have their numbers in front."""
-    return rf"((?<![^ ])\d+:{pattern.replace(' ', r' \d+:')}(?![^ ]))"
+    """pattern, over words with one space between, for words that have their numbers in front; a space may be optional."""
+    words = r"(?: \d+:)?".join(part.replace(" ", r" \d+:") for part in pattern.split(" ?"))
+    return rf"((?<![^ ])\d+:{words}(?![^ ]))"
 
 
 def _starts_and_ends(hits: Column, priority: Column, label: Column) -> Column:
