@@ -2,12 +2,13 @@
 
 First pass: each page's block elements are hashed, subtree by subtree (tag,
 attributes, text, children), and Spark counts on how many pages of a host each
-hash occurs.  Subtrees on a fifth of a host's pages, and on at least five, are
-the site's template.  Second pass: pages are read again; template subtrees,
+hash occurs; pages of the same text count once.  Subtrees on a fifth of a
+host's pages, and on at least five, are the site's template, but for text
+blocks of an article or main element and what holds them.  Second pass: pages are read again; template subtrees,
 page furniture and markup go, the article's blocks stay.
 
-Scale: the first pass shuffles 16 bytes for each distinct subtree of a page,
-with partial counts, so a host with a third of all pages is spread by hash.  A
+Scale: the first pass shuffles 24 bytes for each distinct subtree of a page,
+with copies left out and partial counts, so a host with a third of all pages is spread by hash.  A
 host has at most five times as many template hashes as a page has blocks.  The
 template table is broadcast if it is counted to be small; else pages meet it in
 a join on the host.
@@ -62,10 +63,12 @@ _KEEP, _LAYOUT, _DROP = 0, 1, 2
 
 
 class _Element:
-    __slots__ = ("article", "fate", "own", "parts", "tag")
+    __slots__ = ("article", "fate", "holds", "inside", "own", "parts", "tag")
 
-    def __init__(self, tag: str, own: int, fate: int, article: bool, head: str):
-        self.tag, self.own, self.fate, self.article, self.parts = tag, own, fate, article, [head]
+    def __init__(self, tag: str, own: int, fate: int, article: bool, inside: bool, head: str):
+        self.tag, self.own, self.fate, self.article, self.inside, self.parts = tag, own, fate, article, inside, [head]
+        #: Whether text blocks with a text were read within it.
+        self.holds = False
 
 
 def _fate(tag: str, attributes: str, article: bool) -> int:
@@ -99,12 +102,12 @@ class Page:
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
         self.template = template
-        #: Hashes of the block elements, those of text blocks within the article left out.
+        #: Hashes of the block elements; text blocks within an article or main, and what holds them, left out.
         self.hashes: set[int] = set()
         #: (rank, element path end, text): rank 2 in an article, 1 in main, 0 elsewhere.
         self.blocks: list[tuple[int, str]] = []
         self._pending: list[str] = []
-        self._stack: list[_Element] = [_Element("", _KEEP, _KEEP, False, "")]
+        self._stack: list[_Element] = [_Element("", _KEEP, _KEEP, False, False, "")]
         self._rank = 0
         self._ranks: list[int] = []
         self._read(source)
@@ -166,7 +169,7 @@ class Page:
         fate = max(own, parent.fate)
         if fate == _LAYOUT and own == _KEEP and tag in ("main", "article"):
             fate = _KEEP
-        stack.append(_Element(tag, len(self.blocks), fate, parent.article or tag == "article", f"<{tag}{attributes}>"))
+        stack.append(_Element(tag, len(self.blocks), fate, parent.article or tag == "article", parent.inside or tag in ("article", "main"), f"<{tag}{attributes}>"))
         if tag in ("article", "main"):
             self._ranks.append(self._rank)
             self._rank = max(self._rank, 2 if tag == "article" else 1)
@@ -206,7 +209,9 @@ class Page:
         self._stack[-1].parts.append(f"{digest:x}")
         if e.tag in ("article", "main"):
             self._rank = self._ranks.pop()
-        if e.tag in _BLOCK and e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in _TEXT_BLOCKS):
+        if e.holds or e.tag in _TEXT_BLOCKS and len(self.blocks) > e.own:
+            e.holds = self._stack[-1].holds = True
+        if e.tag in _BLOCK and e.tag not in ("html", "body", "article", "main") and not (e.inside and (e.holds or e.tag in _TEXT_BLOCKS)):
             self.hashes.add(digest)
             if digest in self.template:
                 del self.blocks[e.own :]
@@ -223,19 +228,21 @@ def host_column(url: str):
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur across many pages of a host.  pages: host and html."""
+    """(host, hashes): the subtrees that recur across many pages of a host.  pages: host and html; those of the same text count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
-                of, found = [], []
+                of, texts, found = [], [], []
                 for k, source in enumerate(batch.column(1).slice(first, 500)):
-                    hashes = Page(source.as_py() or "").hashes
+                    page = Page(source.as_py() or "")
+                    hashes = page.hashes
                     of += [first + k] * (len(hashes) + 1)
+                    texts += [xxhash.xxh3_64_intdigest(page.text()) - (1 << 63)] * (len(hashes) + 1)
                     found += [None, *(h - (1 << 64) if h >> 63 else h for h in hashes)]  # the null counts the page
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(found, pa.int64())], ["host", "hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(texts, pa.int64()), pa.array(found, pa.int64())], ["host", "page", "hash"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, hash long")
+    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, hash long").distinct()
     counts = rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(totals, "host").where(F.col("n") >= least_share * F.col("pages"))
@@ -246,8 +253,8 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", text: str
     """The columns keep (all by default) and text, the page's main text.
 
     Null or empty html gives an empty text.  Pages without a host share one.
-    Rows stay as they are, repeated ones too (each counts as a page); a column
-    of df named like text is replaced.
+    Rows stay as they are, repeated ones too; a column of df named like text is
+    replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c != text]
     pages = df.select(F.struct(*keep).alias("kept"), host_column(url).alias("host"), F.col(html).alias("html"))
