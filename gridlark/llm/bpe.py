@@ -8,7 +8,8 @@ That gives the one-merge-at-a-time result if no two merges make the same
 symbol, which the constructor checks.
 
 Scale: narrow maps over partitions, no shuffle; a worker holds one slab of
-text, its distinct words, and a cache of a fixed number of chunks.
+text, its distinct words, and a cache of a fixed number of bytes; a text of any length
+is one slab at most.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridlark.llm.wordsplit import Cache, default_path, joined_ids, slabs, splitter
+from gridlark.llm.common import tidy
+from gridlark.llm.wordsplit import Cache, default_path, empty_caches, joined_ids, slabs, splitter
 
 _NONE = np.int64(1) << 40
 
@@ -87,16 +89,15 @@ class WordBpe:
         fits = (self.keys[found] == key) & (word[at] == word[after]) & (after > at)
         return np.where(fits, self.rank[found], _NONE), self.made[found]
 
-    def _chunk_ids(self, chunks: list) -> list[bytes]:
-        parts = [[c] if isinstance(c, int) else self.split.words(c) for c in chunks]
-        new = list({w for p in parts for w in p if isinstance(w, bytes)})
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        parts = list(map(self.split.words, chunks))
+        new = list({w for p in parts for w in p})
         of = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
-        return [b"".join(of[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in p) for p in parts]
+        return [b"".join(map(of.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        odd = lambda t: b"".join(self._chunk_ids(self.split.chunks(t)))
-        return joined_ids(self.split, texts, self.cache, self._chunk_ids, odd)
+        return joined_ids(self.split, texts, self.cache, self._chunk_ids)
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined by spaces: the file names no decoder."""
@@ -115,8 +116,9 @@ def _schema(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.St
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """The columns keep (all by default) and ids: binary, little-endian unsigned 32-bit token ids.
 
-    A null or empty text has no ids.  Rows stay as they are, repeated ones too;
-    a column of df named like ids is replaced.
+    A null or empty text has no ids; a very long one is read whole, in memory
+    of some ten times its size.  Rows stay as they are, repeated ones too; a
+    column of df named like ids is replaced.  An empty df gives an empty result.
     """
     path = path or default_path()
     keep = [c for c in (df.columns if keep is None else keep) if c != ids]
@@ -129,7 +131,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", keep: list[str]
                 made = pa.array(bpe(path).encode(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), made], [*keep, ids])
 
-    return df.mapInArrow(run, _schema(df, keep, ids, T.BinaryType()))
+    return df.mapInArrow(tidy(run, empty_caches), _schema(df, keep, ids, T.BinaryType()))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -145,4 +147,4 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", keep: list[st
                 made = pa.array([bpe(path).decode(x.as_py() or b"") for x in part.column(place)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), made], [*keep, text])
 
-    return df.mapInArrow(run, _schema(df, keep, text, T.StringType()))
+    return df.mapInArrow(tidy(run), _schema(df, keep, text, T.StringType()))

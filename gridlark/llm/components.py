@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import cut
+from gridlark.llm.common import cut, tidy
 
 
 FEW = 200_000
@@ -76,7 +76,7 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
         if now[0] <= few:
             kind = edges.schema["u"].dataType.simpleString()
-            return cut(edges.select("u", "v").repartition(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
+            return cut(edges.select("u", "v").repartition(1).mapInArrow(tidy(_joined), f"node {kind}, root {kind}"))
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.llm.common import stored
+from gridlark.llm.common import stored, tidy
 
 #: A template subtree is on so many pages of its host at least, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
@@ -242,7 +242,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
                     found += [None, *(h - (1 << 64) if h >> 63 else h for h in hashes)]  # the null counts the page
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(texts, pa.int64()), pa.array(found, pa.int64())], ["host", "page", "hash"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, hash long").distinct()
+    rows = pages.select("host", "html").mapInArrow(tidy(run), "host string, page long, hash long").distinct()
     counts = rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(totals, "host").where(F.col("n") >= least_share * F.col("pages"))
@@ -273,5 +273,5 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", text: str
                     made.append(Page(source.as_py() or "", template).text())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.string())], ["kept", text])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField(text, T.StringType())]))
+    out = rows.mapInArrow(tidy(run), T.StructType([rows.schema["kept"], T.StructField(text, T.StringType())]))
     return out.select("kept.*", text)

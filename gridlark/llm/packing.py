@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.llm.common import stored
-from gridlark.llm.wordsplit import Cache, default_path, joined_ids, slabs, splitter
+from gridlark.llm.common import stored, tidy
+from gridlark.llm.wordsplit import Cache, default_path, empty_caches, joined_ids, slabs, splitter
 
 CAPACITY = 2048
 GROUPS = 1024
@@ -47,7 +47,7 @@ PER_SALT = 500_000
 
 
 class LibraryIds:
-    """Ids by the tokenizers library, each distinct word of well-known characters encoded once."""
+    """Ids by the tokenizers library, each distinct word encoded once."""
 
     def __init__(self, path: str):
         self.split = splitter(path)
@@ -61,15 +61,13 @@ class LibraryIds:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         parts = list(map(self.split.words, chunks))
-        of = self.words.filled(parts, self._words)
+        every = list(set().union(*parts))
+        of = dict(zip(every, self.words.values(every, self._words), strict=True))
         return [of[p[0]] if len(p) == 1 else b"".join(map(of.__getitem__, p)) for p in parts]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.split.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return joined_ids(self.split, texts, self.chunks, self._chunks, self._whole)
+        return joined_ids(self.split, texts, self.chunks, self._chunks)
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +103,7 @@ def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
                 made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *made[: 5 if ids else 4]], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run, empty_caches), schema)
 
 
 def configuration(sizes: list[int], numbers: list[int], capacity: int) -> list[int]:
@@ -261,7 +259,7 @@ def pack(parts: DataFrame, by: list[str], length: str = "length", capacity: int
     ranked = salted.withColumn("_within", within).join(before, [length, "_salt"])
     ranked = ranked.select(*parts.columns, (F.col("_before") + F.col("_within")).alias("rank"))
     schema = T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_place(segments), schema)
+    return ranked.mapInArrow(tidy(_place(segments)), schema)
 
 
 def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

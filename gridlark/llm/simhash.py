@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.llm.common import cut
+from gridlark.llm.common import cut, tidy
 from gridlark.llm.components import components
 
 DISTANCE = 3
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = Non
             made = pa.array(np.array([fingerprint(x.as_py(), size) for x in batch.column(place)], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], [*keep, "fingerprint"])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField("fingerprint", T.LongType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*(df.schema[c] for c in keep), T.StructField("fingerprint", T.LongType())]))
 
 
 def _syndromes() -> np.ndarray:
@@ -116,7 +116,7 @@ def _replicated(distinct: DataFrame) -> DataFrame:
                     columns = [pa.array(key), pa.array(home), pa.array(prints[row].view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["anchor", "home", "fingerprint"])
 
-    return distinct.mapInArrow(run, "anchor long, home boolean, fingerprint long")
+    return distinct.mapInArrow(tidy(run), "anchor long, home boolean, fingerprint long")
 
 
 def links(residents: np.ndarray, guests: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -223,7 +223,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, chunk: int
     resident = rows.where("home").select("anchor", own("h").alias("i"), every_of("g").alias("j"), F.lit(True).alias("home"), "fingerprint")
     guest = rows.select("anchor", every_of("h").alias("i"), own("g").alias("j"), F.lit(False).alias("home"), "fingerprint")
     dealt = resident.unionByName(guest).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", F.desc("home"))
-    return dealt.mapInArrow(_compare(distance), "u long, v long").distinct()
+    return dealt.mapInArrow(tidy(_compare(distance)), "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:

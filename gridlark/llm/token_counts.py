@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridlark.llm.wordsplit import Cache, default_path, slabs, splitter
+from gridlark.llm.common import tidy
+from gridlark.llm.wordsplit import Cache, coded, default_path, empty_caches, lowered, slabs, splitter
 
 _SYMBOLS = 512
 
@@ -112,14 +113,17 @@ class WordCounter:
         of = dict(zip(words, self.automaton.counts(words).tolist(), strict=True)) if words else {}
         return [(len(p), sum(x := [of[w] for w in p]), max(x, default=0)) for p in parts]
 
-    def of(self, texts: list[str]) -> list[tuple[int, int, int]]:
+    def of(self, texts: list[str]) -> np.ndarray:
         """Words, tokens, and the most tokens of a word, for each text."""
-        lists = [self.split.chunks(t, special=False) for t in texts]
-        known = self.cache.filled(lists, self._of)
-        out = []
-        for chunks in lists:
-            words, tokens, most = zip(*map(known.__getitem__, chunks), strict=True) if chunks else ((0,), (0,), (0,))
-            out.append((sum(words), sum(tokens), max(most)))
+        chunks, code, offsets = coded(list(map(lowered, texts)))
+        values = np.array(self.cache.values(chunks, self._of), np.int64).reshape(-1, 3)[code]
+        sums = np.zeros((len(values) + 1, 2), np.int64)
+        np.cumsum(values[:, :2], axis=0, out=sums[1:])
+        out = np.zeros((len(texts), 3), np.int64)
+        out[:, :2] = sums[offsets[1:]] - sums[offsets[:-1]]
+        some = np.flatnonzero(offsets[1:] > offsets[:-1])
+        if len(some):  # texts without a chunk take no place, so the others' ranges are gapless
+            out[some, 2] = np.maximum.reduceat(values[:, 2], offsets[some])
         return out
 
 
@@ -132,7 +136,9 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """The columns keep (all by default) and n_words, n_tokens, max_word_tokens (long).
 
     Words are the tokenizer's; strings of its special tokens are ordinary text.
-    A null or empty text has 0 of each.  Columns of df with these names are replaced.
+    A null or empty text has 0 of each; a very long one, or a very long word,
+    is read whole.  Rows stay as they are, repeated ones too; columns of df with
+    these names are replaced.  An empty df gives an empty result.
     """
     path = path or default_path()
     own = ["n_words", "n_tokens", "max_word_tokens"]
@@ -144,7 +150,7 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
         for batch in batches:
             for first, texts in slabs(batch.column(place)):
                 part = batch.slice(first, len(texts))
-                made = [pa.array(x, pa.int64()) for x in zip(*counter(path).of(texts), strict=True)]
+                made = [pa.array(x) for x in counter(path).of(texts).T]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], [*keep, *own])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, empty_caches), schema)

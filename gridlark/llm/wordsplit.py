@@ -2,8 +2,10 @@
 
 The tokenizer file fixes a normaliser (NFC, white space runs to one space,
 lower case), a splitter and the added tokens that are cut out beforehand.
-Texts of well-known characters are normalised and split here; any other text
-goes through the library's own normaliser and splitter, so both ways agree.
+Nothing of that reaches over a space, so texts are cut at ASCII white space and
+each distinct chunk is worked on once.  Chunks of well-known characters are
+lower-cased and split here; any other chunk goes through the library's own
+normaliser and splitter, so both ways agree.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ _KNOWN = re.compile(rf"[\t-\r\x20-\x7e{_LETTERS}{_PUNCTUATION}]*")
 #: The splitter's pattern, for lower-case text of those characters.
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
-#: Distinct chunks in a generation of a worker's cache.  It changes speed only.
-CACHE = 200_000
-#: Bytes of text that are worked on at once.
-SLAB = 4_000_000
+#: Bytes that a generation of a worker's cache may hold.  It changes speed only.
+CACHE = 24_000_000
+#: Bytes of an entry besides its chunk, about.
+_ENTRY = 200
+#: Characters of text that are worked on at once.
+SLAB = 2_000_000
 
 
 def default_path() -> str:
@@ -58,30 +62,28 @@ class Splitter:
         self.char_table = str.maketrans({chr(b): c for b, c in self.char_of.items()})
         self.byte_of = {c: b for b, c in self.char_of.items()}
 
-    def chunks(self, text: str, special: bool = True) -> list:
-        """Space-free chunks in order; an added token is its id (an int)."""
-        if _KNOWN.fullmatch(text) and not (special and self._added.search(text)):
-            return text.lower().split()
-        out: list = []
+    def segments(self, text: str) -> list[str | int]:
+        """Texts between added tokens, each of which is its id (an int); lower-cased where that is safe."""
+        if self._added.search(text) is None:
+            return [lowered(text)]
+        out: list[str | int] = []
         at = 0
-        for m in self._added.finditer(text) if special else ():
-            out += self._odd(text[at : m.start()])
-            out.append(self.added[m[0]])
+        for m in self._added.finditer(text):
+            out += [text[at : m.start()], self.added[m[0]]]
             at = m.end()
-        return out + self._odd(text[at:])
-
-    def is_plain(self, text: str) -> bool:
-        """Whether lower-casing and splitting at white space gives the text's chunks."""
-        return _KNOWN.fullmatch(text) is not None and self._added.search(text) is None
-
-    def _odd(self, text: str) -> list[str]:
-        return [c for c in self.library.normalizer.normalize_str(text).split(" ") if c]
+        return [*out, text[at:]]
 
     def words(self, chunk: str) -> list[bytes]:
         """The words of a chunk, as UTF-8."""
         if _KNOWN.fullmatch(chunk):
-            return [w.encode() for w in _SPLIT.findall(chunk)]
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+            return [w.encode() for w in _SPLIT.findall(chunk.lower())]
+        normal = self.library.normalizer.normalize_str(chunk)
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+
+def lowered(text: str) -> str:
+    """text in lower case if that is the library's; it saves chunks that differ by case only."""
+    return text.lower() if text.isascii() or _KNOWN.fullmatch(text) else text
 
 
 @lru_cache(maxsize=2)
@@ -106,53 +108,73 @@ def slabs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 class Cache:
     """Values of chunks, in two generations of bounded size; what is still in use moves to the newer one."""
 
+    every: list[Cache] = []
+
     def __init__(self, size: int = CACHE):
-        self.size, self.new, self.old = size, {}, {}
-
-    def filled(self, lists: list[list], make: Callable[[list], list]) -> dict:
-        """A dict that holds every chunk of the lists; make(chunks) gives the values that are not known yet."""
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
-        here = set().union(*lists).difference(self.new)
-        self.new.update((c, v) for c in here if (v := self.old.get(c)) is not None)
-        lacking = [c for c in here if c not in self.new]
-        if lacking:
-            self.new.update(zip(lacking, make(lacking), strict=True))
-        return self.new
-
-
-def joined_ids(split: Splitter, texts: list[str], cache: Cache, make: Callable[[list[str]], list[bytes]], odd: Callable[[str], bytes]) -> list[bytes]:
-    """Each text's ids (little-endian, 4 bytes each).
-
-    Texts of well-known characters are lower-cased, split and dictionary-coded
-    by Arrow; only the distinct chunks of all of them meet Python, and the ids
-    are gathered by numpy.  make gives the ids of new chunks, odd those of any
-    other text.
+        self.size = size
+        self.empty()
+        Cache.every.append(self)
+
+    def empty(self) -> None:
+        self.new, self.old, self.held = {}, {}, 0
+
+    def values(self, chunks: list, make: Callable[[list], list]) -> list:
+        """The value of each of the chunks, which differ; make(chunks) gives those that are not known yet."""
+        if self.held > self.size:
+            self.new, self.old, self.held = {}, self.new, 0
+        found = list(map(self.new.get, chunks))
+        here = [k for k, v in enumerate(found) if v is None]
+        for k in here:
+            found[k] = self.old.get(chunks[k])
+        lacking = [k for k in here if found[k] is None]
+        for k, v in zip(lacking, make([chunks[k] for k in lacking]) if lacking else (), strict=True):
+            found[k] = v
+        self.new.update((chunks[k], found[k]) for k in here)
+        self.held += _ENTRY * len(here) + sum(len(chunks[k]) for k in here)
+        return found
+
+
+def empty_caches() -> None:
+    """For the end of a partition."""
+    for cache in Cache.every:
+        cache.empty()
+
+
+def coded(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, places among them, each text's range of places): texts cut at ASCII white space by Arrow."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    flat = lists.flatten().dictionary_encode()
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def joined_ids(split: Splitter, texts: list[str], cache: Cache, make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Each text's ids (little-endian, 4 bytes each); make gives the ids of new chunks.
+
+    Only the distinct chunks of all texts meet Python; the ids are gathered by numpy.
     """
-    out = [b""] * len(texts)
-    plain = []
-    for k, t in enumerate(texts):
-        if split.is_plain(t):
-            plain.append(k)
-        else:
-            out[k] = odd(t)
+    parts = [split.segments(t) for t in texts]
+    plain = [x for p in parts for x in p if isinstance(x, str)]
     if not plain:
-        return out
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([texts[k] for k in plain], pa.string())))
-    coded = lists.flatten().dictionary_encode()
-    chunks = coded.dictionary.to_pylist()
-    known = cache.filled([chunks], make)
-    values = list(map(known.__getitem__, chunks))
+        return []
+    chunks, code, offsets = coded(plain)
+    values = cache.values(chunks, make)
     ids = np.frombuffer(b"".join(values), "<u4")
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    code = coded.indices.to_numpy()
     n = sizes[code]
     ends = np.cumsum(n)
     begins = (np.cumsum(sizes) - sizes)[code] - (ends - n)
     place = np.repeat(begins.astype(np.int32), n)  # a slab has far fewer ids than 2^31
     place += np.arange(len(place), dtype=np.int32)
     gathered = ids[place].tobytes()
-    at = 4 * np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    for k, a, b in zip(plain, at[:-1].tolist(), at[1:].tolist(), strict=True):
-        out[k] = gathered[a:b]
+    at = (4 * np.r_[0, ends][offsets]).tolist()
+    out, k = [], 0
+    for p in parts:
+        found = []
+        for x in p:
+            if isinstance(x, int):
+                found.append(x.to_bytes(4, "little"))
+            else:
+                found.append(gathered[at[k] : at[k + 1]])
+                k += 1
+        out.append(found[0] if len(found) == 1 else b"".join(found))
     return out
