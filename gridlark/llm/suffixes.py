@@ -25,12 +25,17 @@ windows with one anchor: about one for each 76 bytes.
 Equal windows always have equal anchors, so nothing is lost; runs are told
 apart by two independent 64-bit hashes, windows of step 3 by their bytes.
 
+All of this is about distinct texts, told apart by two 64-bit hashes.  A text
+on two rows or more is repeated altogether, which a count of hashes tells; a
+task reads it once, however often it meets it.
+
 Scale: every step's groups are bounded or pre-aggregated; what is shuffled is
-about 0.7 of the text's bytes as hashes, and the text itself once.
+about 0.7 of the text's bytes as hashes, and the text itself twice.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,22 +45,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.llm.common import stored
+from gridlark.llm.common import stored, tidy
 
 LENGTH = 200
 GRAM = 50
 #: Different runs of a gram that a task may gather.
 GATHER = 2000
-#: Tasks that one gram's runs are dealt to.
+#: Tasks that one gram's runs, or one text's rows, are dealt to.
 SALTS = 8
 #: Windows that are looked at in one numpy step, and documents that a task turns into Python objects at a time.
 SLAB = 1 << 17
 ROWS = 500
+#: Texts that a task remembers, so as not to read copies again; it changes speed only, about 100 bytes each.
+SEEN = 100_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a slab's places; grams are ordered by the rest of their hash, the same rest in every slab.
+_PLACE = 24
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
-_RUN = [("gram", T.LongType()), ("run", T.LongType()), ("place", T.LongType())]
+_RUN = [(n, T.LongType()) for n in ("gram", "run", "place", "a", "b")]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +80,8 @@ class Anchors:
     def __init__(self, length: int = LENGTH, gram: int = GRAM, slab: int = SLAB):
         if not 0 < gram <= length <= gram + 250:
             raise ValueError("a run's width must fit in 8 bits")
+        if slab + length >= 1 << _PLACE:
+            raise ValueError("a slab's places must fit beside the hash")
         self.length, self.gram, self.slab = length, gram, slab
         self.up, self.down = _powers(2 * slab + length + 1)
 
@@ -105,8 +116,7 @@ class Anchors:
         gram ^= gram >> np.uint64(32)
         gram *= _MIX
         gram ^= gram >> np.uint64(29)
-        bits = np.uint64(max(1, n.bit_length()))
-        low = (np.uint64(1) << bits) - np.uint64(1)
+        low = np.uint64((1 << _PLACE) - 1)
         least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)  # by hash, then leftmost
         width, have = self.length - self.gram + 1, 1
         while have < width:
@@ -146,27 +156,40 @@ def _pack(first: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndar
 
 
 def _key(df: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
-    """id, text_hash, text (never null), kept: rows with one id and one text are alike in all that counts here."""
+    """id, a, b (the text's hashes), text (never null), kept."""
     kept = F.struct(*keep) if keep else F.lit(None).cast("boolean")
     rows = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), kept.alias("kept"))
-    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "kept")
+    return rows.select("id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("b"), "text").alias("b"), "text", "kept")
 
 
 def _joined(rows: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
-    """id, text_hash, text and column of other; a null id equals a null id."""
-    other = other.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
-    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return rows.join(other, on, how).select("id", "text_hash", "text", "kept", column)
+    """rows with column of other (a, b, column), whose pairs (a, b) are unique; rows of one text go to SALTS tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    every = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["a", "b", "_salt"], how).select(*rows.columns, column)
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (a, b, ...) without most rows whose text the task met before; SEEN texts are remembered at a time."""
+    seen: set[int] = set()
+    for batch in batches:
+        stay = []
+        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if (pair := a << 64 | b & (1 << 64) - 1) not in seen:
+                seen.add(pair)
+                stay.append(k)
+        if len(seen) > SEEN:
+            seen.clear()
+        if stay:
+            yield batch if len(stay) == batch.num_rows else batch.take(pa.array(stay))
 
 
 def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, run, place, id, text_hash) of every run."""
+    """(gram, run, place, a, b) of every run; a task gives those of a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _firsts(batches):
             data, begin, end = _bytes_of(batch.column(2))
             view = memoryview(np.ascontiguousarray(data))
             row, first, windows, anchor, grams = anchors.runs(data, begin, end)
@@ -175,9 +198,9 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
             ids = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + windows + length - 1).tolist(), strict=True)), np.uint64, len(at))
             take = pa.array(row)
             columns = [pa.array(grams.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(_pack(first, windows, anchor))]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take), batch.column(1).take(take)], ["gram", "run", "place", "id", "text_hash"])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take), batch.column(1).take(take)], [n for n, _ in _RUN])
 
-    return rows.mapInArrow(run, T.StructType([*(T.StructField(n, t) for n, t in _RUN), rows.schema["id"], rows.schema["text_hash"]]))
+    return rows.select("a", "b", "text").where(F.octet_length("text") >= length).mapInArrow(tidy(run), T.StructType([T.StructField(n, t) for n, t in _RUN]))
 
 
 _SENT = [
@@ -190,43 +213,42 @@ _SENT = [
     ("anchor", T.LongType()),
     ("bytes", T.BinaryType()),
 ]
-_PART = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_TEXT = [T.StructField(n, T.LongType()) for n in ("a", "b")]
+_PART = [T.StructField(n, T.LongType()) for n in ("start", "end")]
 
 
 def _sent(lists: DataFrame, length: int) -> DataFrame:
-    """Rows of _SENT with id and text_hash, from (id, text_hash, text, kept, runs)."""
+    """Rows of _SENT with a and b, from (a, b, text, runs)."""
     names = [n for n, _ in _SENT]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in _sliced(_firsts(batches)):
             rows: list[tuple] = []
             of: list[int] = []
-            crowded: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            crowded: dict[int, list[tuple[int, int]]] = {}
             for k in range(batch.num_rows):
                 text = batch.column(2)[k].as_py().encode()
-                for r in batch.column(4)[k].as_py():
+                for r in batch.column(3)[k].as_py():
                     first, windows, anchor = r["place"] >> 16, r["place"] >> 8 & 255, r["place"] & 255
                     if not r["crowded"]:
                         rows.append((r["gram"], 0, 0, first, windows, anchor, text[first : first + windows + length - 1]))
                         of.append(k)
                         continue
                     for p in range(first, first + windows):
-                        h = xxhash.xxh3_128_intdigest(text[p : p + length])
-                        crowded.setdefault((h >> 64, h & (1 << 64) - 1), []).append((k, p))
-            for (a, b), at in crowded.items():
-                a, b = (x - (1 << 64) if x >> 63 else x for x in (a, b))
-                for n, (k, p) in enumerate(at):
-                    rows.append((p, k, 2, p, 1, 0, None) if len(at) > 1 else (a, b, 1, p, 1, 0, None))
+                        crowded.setdefault(xxhash.xxh3_128_intdigest(text[p : p + length]), []).append((k, p))
+            for h, at in crowded.items():
+                for k, p in at if len(at) > 1 else ():  # settled; a key of its own for each row
+                    rows.append((signed(xxhash.xxh3_64_intdigest(struct.pack("<qqq", batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), p))), 0, 2, p, 1, 0, None))
                     of.append(k)
-                    if n == 0 and len(at) > 1:  # others, in other batches, may equal it
-                        rows.append((a, b, 1, p, 1, 0, None))
-                        of.append(k)
+                rows.append((signed(h >> 64), signed(h & (1 << 64) - 1), 1, at[0][1], 1, 0, None))  # windows in other batches may equal it
+                of.append(at[0][0])
             made = [pa.array(x, pa.binary() if n == "bytes" else pa.int32() if n == "kind" else pa.int64()) for n, x in zip(names, zip(*rows, strict=True), strict=True)] if rows else None
             if made:
                 take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([*made, batch.column(0).take(take), batch.column(1).take(take)], [*names, "id", "text_hash"])
+                yield pa.RecordBatch.from_arrays([*made, batch.column(0).take(take), batch.column(1).take(take)], [*names, "a", "b"])
 
-    return lists.mapInArrow(run, T.StructType([*(T.StructField(n, t) for n, t in _SENT), lists.schema["id"], lists.schema["text_hash"]]))
+    return lists.select("a", "b", "text", "runs").mapInArrow(tidy(run), T.StructType([*(T.StructField(n, t) for n, t in _SENT), *_TEXT]))
 
 
 def repeated_windows(group: np.ndarray, pieces: list[bytes], windows: np.ndarray, anchor: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -295,8 +317,8 @@ def _sort(length: int):
         def out(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
             names = batch.schema.names
             take = pa.array(row)
-            own = [batch.column(names.index(n)).take(take) for n in ("id", "text_hash")]
-            return pa.RecordBatch.from_arrays([*own, pa.array(start), pa.array(end)], ["id", "text_hash", "start", "end"])
+            own = [batch.column(names.index(n)).take(take) for n in ("a", "b")]
+            return pa.RecordBatch.from_arrays([*own, pa.array(start), pa.array(end)], ["a", "b", "start", "end"])
 
         held: pa.Table | None = None  # the last key's rows, as the next batch may go on with it
         for batch in batches:
@@ -342,30 +364,35 @@ def _spread_join(runs: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame
     A hot key is dealt to SALTS tasks, each of which gets its row of sums; as
     sums are shuffled anew for that, Spark can split what is still uneven.
     """
-    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("id", "text_hash", "place"), F.lit(SALTS)).cast("int"))
+    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("a", "b", "place"), F.lit(SALTS)).cast("int"))
     every = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(every, [*keys, "_salt"]).drop("_salt")
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, gather: int = GATHER) -> DataFrame:
-    """(id, text_hash, start, end): byte ranges, overlaps allowed, whose union is what repeated windows cover.
+    """(a, b, start, end): byte ranges, overlaps and repeats allowed, whose union is what repeated windows cover.
 
     rows: as _key gives them.
     """
+    size = F.octet_length("text").cast("long")
+    copied = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("end")).where((F.col("n") > 1) & (F.col("end") >= length))
+    copied = copied.select("a", "b", F.lit(0).cast("long").alias("start"), "end")
     runs = _runs(rows, length, gram)
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     shared = stored(_spread_join(runs, grams, ["gram"]))
-    kinds = shared.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash", "place")).alias("one"))
-    whole = _spread_join(shared, kinds.where("n > 1").select("gram", "run"), ["gram", "run"])
+    # A text's place can be there from each task that met the text, so places are counted by what they are.
+    one = F.struct("a", "b", "place")
+    kinds = shared.groupBy("gram", "run").agg(F.min(one).alias("one"), (F.min(one) != F.max(one)).alias("twice"))
+    whole = _spread_join(shared, kinds.where("twice").select("gram", "run"), ["gram", "run"])
     first = F.shiftright("place", 16)
-    ranges = whole.select("id", "text_hash", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("end"))
+    ranges = whole.select("a", "b", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("end"))
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    edges = kinds.join(several, "gram").select("one.id", "one.text_hash", F.struct("gram", "one.place", (F.col("kinds") > gather).alias("crowded")).alias("r"))
-    lists = edges.groupBy("id", "text_hash").agg(F.collect_list("r").alias("runs"))
+    edges = kinds.join(several, "gram").select("one.a", "one.b", F.struct("gram", "one.place", (F.col("kinds") > gather).alias("crowded")).alias("r"))
+    lists = edges.groupBy("a", "b").agg(F.collect_list("r").alias("runs"))
     sent = _sent(_joined(rows, lists, "runs", "inner"), length)
     dealt = sent.repartition("key1", "key2").sortWithinPartitions("key1", "key2", "kind")
-    more = dealt.mapInArrow(_sort(length), T.StructType([rows.schema["id"], rows.schema["text_hash"], *_PART]))
-    return ranges.unionByName(more)
+    more = dealt.mapInArrow(tidy(_sort(length)), T.StructType([*_TEXT, *_PART]))
+    return ranges.unionByName(more).unionByName(copied)
 
 
 def _remove(text: bytes, ranges: list) -> tuple[bytes, int, int]:
@@ -395,7 +422,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     their texts.
     """
     rows = _key(df, id, text, keep or [])
-    ranges = repeated_ranges(rows, length, gram, gather).groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = repeated_ranges(rows, length, gram, gather).groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     numbers = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     out = T.StructType([rows.schema["id"], rows.schema["kept"], *numbers, T.StructField("remaining", T.StringType() if as_text else T.BinaryType())])
 
@@ -410,6 +437,6 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
             columns = [*(pa.array(x, pa.int64()) for x in (n, removed, spans)), rest]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], out.names)
 
-    found = _joined(rows, ranges, "ranges", "left").select("id", "text", "kept", "ranges").mapInArrow(run, out)
+    found = _joined(rows, ranges, "ranges", "left").select("id", "text", "kept", "ranges").mapInArrow(tidy(run), out)
     extra = ["kept.*"] if keep else []
     return found.select(F.col("id").alias(id), "n_bytes", "n_removed", "n_spans", "remaining", *extra)
