@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridlark.llm.common import tidy
+
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples per pixel by PNG colour type.
 _SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -45,6 +47,15 @@ def filter_rows(rows: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
     return rows - np.choose(kinds[:, None], by)
 
 
+def chosen_filters(rows: np.ndarray, step: int) -> np.ndarray:
+    """For each row none, left or up: the one whose bytes, read as signed, have the least sum of sizes; the first of equals."""
+    left, up = rows.copy(), rows.copy()
+    left[:, step:] -= rows[:, :-step]
+    up[1:] -= rows[:-1]
+    sums = [np.abs(x.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for x in (rows, left, up)]
+    return np.argmin(sums, axis=0).astype(np.uint8)
+
+
 def _average(left: np.ndarray, up: np.ndarray) -> np.ndarray:
     return ((left.astype(np.uint16) + up) >> 1).astype(np.uint8)
 
@@ -68,8 +79,8 @@ def unfilter_rows(data: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
     height, width = data.shape[0], data.shape[1] // step
     if not (kinds >= 3).any():
         pixels = out.reshape(height, width, step)
-        for y in np.flatnonzero(kinds == 1):
-            pixels[y] = np.cumsum(pixels[y], axis=0, dtype=np.uint8)
+        at = kinds == 1
+        pixels[at] = np.cumsum(pixels[at], axis=1, dtype=np.uint8)
         for y in np.flatnonzero(kinds == 2):
             if y:
                 out[y] += out[y - 1]
@@ -86,11 +97,11 @@ def unfilter_rows(data: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
 
 
 def encode_png(samples: np.ndarray, kinds: np.ndarray | None = None, level: int = 3) -> bytes:
-    """8-bit grey or RGB samples (height x width, or x 3) as PNG; kinds: the filter of each row, none by default."""
+    """8-bit grey or RGB samples (height x width, or x 3) as PNG; kinds: the filter of each row, chosen_filters by default."""
     height, width = samples.shape[:2]
     step = 1 if samples.ndim == 2 else 3
     rows = np.ascontiguousarray(samples, np.uint8).reshape(height, width * step)
-    kinds = np.zeros(height, np.uint8) if kinds is None else kinds
+    kinds = chosen_filters(rows, step) if kinds is None else kinds
     lines = np.empty((height, width * step + 1), np.uint8)
     lines[:, 0] = kinds
     lines[:, 1:] = filter_rows(rows, kinds, step) if kinds.any() else rows
@@ -165,7 +176,10 @@ def payload_of(text: bytes) -> bytes:
 def text_to_media(df: DataFrame, text: str = "text", media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all by default) and media: a grey PNG whose samples are the UTF-8 text, padded by 255s.
 
-    A null text is an empty one; equal texts have equal media.  A column of df named like media is replaced.
+    Each row of the image has the filter of the least sum.  A null text is an
+    empty one; a very long text is one tall image, held whole; equal texts have
+    equal media, repeated rows each their own.  A column of df named like media
+    is replaced.  An empty df gives an empty result.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c != media]
     place = df.columns.index(text)
@@ -187,7 +201,7 @@ def text_to_media(df: DataFrame, text: str = "text", media: str = "media", keep:
             if made:
                 yield out(batch.slice(first, len(made)), made)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 #: What read_media adds; the columns are null, but for media_bytes, media_sha256 and error, if the bytes can't be read.
@@ -228,7 +242,10 @@ def read_one(data: bytes | None) -> dict:
 
 
 def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all by default) and READ's; broken media give a row with error set, never a crash."""
+    """The columns keep (all by default) and READ's; broken media give a row with error set, never a crash.
+
+    Columns of df named like READ's are replaced; an empty df gives an empty result.
+    """
     keep = [c for c in (df.columns if keep is None else keep) if c not in READ.names]
     place = df.columns.index(media)
     schema = T.StructType([*(df.schema[c] for c in keep), *READ])
@@ -241,4 +258,4 @@ def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = Non
                 made = [pa.array([r[f.name] for r in rows], pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in READ]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], [*keep, *READ.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -1,13 +1,16 @@
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
 
+from gridlark.llm import queries
 from gridlark.llm.media import (
     BLOCK,
     MediaError,
+    chosen_filters,
     cosine_hash,
     decode_png,
     encode_png,
@@ -90,3 +93,45 @@ def test_random_texts_come_back(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     for r in text_to_media(df).collect():
         assert decode_png(r["media"]).tobytes().rstrip(b"\xff").decode() == r["text"]
+
+
+def slow_feature(samples: np.ndarray) -> str:
+    height, width = samples.shape
+    edges = lambda n: [(k * n // 32, max(k * n // 32 + 1, (k + 1) * n // 32)) for k in range(32)]
+    small = [[sum(int(x) for row in samples[a:b] for x in row[c:d]) / ((b - a) * (d - c)) for c, d in edges(width)] for a, b in edges(height)]
+    wave = [[math.cos(math.pi / 32 * (x + 0.5) * u) for x in range(32)] for u in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low)[31] / 2 + sorted(low)[32] / 2
+    return f"{sum((value > middle) << (63 - k) for k, value in enumerate(low)):016x}"
+
+
+def test_feature_equals_a_slow_transform():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 576), (3, 576), (40, 576), (64, 32), (33, 70)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        assert cosine_hash(image) == slow_feature(image)
+
+
+def test_written_rows_are_filtered():
+    rows = np.arange(3 * 576).reshape(3, 576).astype(np.uint8)
+    rows[1] = rows[0]
+    assert chosen_filters(rows, 1).tolist() == [1, 2, 1]
+    text = np.frombuffer(payload_of(b"some words of a text " * 100), np.uint8).reshape(-1, 576)
+    assert chosen_filters(text, 1).any()
+    assert (decode_png(encode_png(text))[:, :, 0] == text).all()
+
+
+def test_media_query(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op2_media_columns(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        payload = text + b"\xff" * (-len(text) % 576 if text else 576)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(text), len(payload), zlib.crc32(payload[-32:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        stored = encode_png(np.frombuffer(payload, np.uint8).reshape(-1, 576))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if len(payload) < 20_000:
+            assert r["feature"] == slow_feature(np.frombuffer(payload, np.uint8).reshape(-1, 576))
