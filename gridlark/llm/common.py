@@ -56,6 +56,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows (some 24 bytes) up to which a table is broadcast, by its count.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which is stored and has a few numbers in a row; marked for broadcast if its count is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow, whose worker gives memory back when its partition ends.
 

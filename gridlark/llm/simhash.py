@@ -38,9 +38,14 @@ CHUNK = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def words_of(text: str) -> list[bytes]:
+    """What stands between white space, A-Z lower-cased, as UTF-8."""
+    return text.encode().translate(_LOWER).split()
+
+
 def shingles(text: str, size: int = 3) -> list[bytes]:
     """size-word shingles of the text, A-Z lower-cased; the whole sequence if it is shorter; none without words."""
-    words = text.encode().translate(_LOWER).split()
+    words = words_of(text)
     if len(words) <= size:
         return [b" ".join(words)] if words else []
     return list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
