@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import SPACE, ensure_checkpoint_dir, table
+from gridlark.llm.common import SPACE, ensure_checkpoint_dir, small, stored, table
 from gridlark.llm.near_copies import near_copies
 from gridlark.llm.packing import pack_documents
 from gridlark.llm.quality import quality
@@ -24,9 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), the document of the smallest id."""
-    gone = near_copies(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), the document of the smallest id.
+
+    Documents without an id stay, and so do all rows of that smallest id with one text.
+    """
+    gone = near_copies(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_id"), "text_hash")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return docs.join(small(stored(gone.distinct())), same, "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
