@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlark.sources.folders import head_of, shared_folder
+
 
 @dataclass(frozen=True)
 class CsvOptions:
@@ -20,6 +24,8 @@ class CsvOptions:
     skip_leading_lines: int = 0
     trim_cells: bool = False
     encoding: str = "UTF-8"
+    #: Whether quoted cells may hold line ends; None: the text is scanned for them.
+    multi_line: bool | None = None
 
 
 def unique_names(names: Iterable[str | None]) -> list[str]:
@@ -34,35 +40,99 @@ def unique_names(names: Iterable[str | None]) -> list[str]:
     return found
 
 
-def _first_record(lines: list[str], options: CsvOptions) -> list[str]:
-    """The first record that isn't blank; it may go over several lines."""
+def _first_record(lines: list[str], options: CsvOptions) -> tuple[list[str], int]:
+    """The first record that isn't blank, which may go over several lines, and the lines up to its end."""
     reader = csv.reader(iter([line + "\n" for line in lines]), delimiter=options.delimiter, quotechar=options.quote or None, doublequote=True)
-    return next((r for r in reader if any(c.strip() for c in r)), [])
+    return next(((r, reader.line_num) for r in reader if any(c.strip() for c in r)), ([], 0))
+
+
+def _decoded(df: DataFrame, encoding: str) -> DataFrame:
+    """df, whose column value holds the bytes of a text in the encoding, with that text; in Python, as Spark knows few encodings."""
+    if codecs.lookup(encoding).name == "utf-8":
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("value")
+            texts = pa.array([x.as_py().decode(encoding, errors="replace") for x in batch.column(at)], pa.string())
+            yield batch.set_column(at, "value", texts)
+
+    return df.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, df.schema)
+
+
+def _lines(spark: SparkSession, path: str, options: CsvOptions) -> DataFrame:
+    """(value, file, block): the lines, the file of each and where its split of the file begins."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return _decoded(lines, options.encoding)
+
+
+def _without_head(lines: DataFrame, n: int) -> DataFrame:
+    """value of the lines, without the first n of each file.
+
+    Lines come in order from their splits, so a count per file is enough; the
+    first n must be in the file's first split, and a file that goes on without
+    holding them there stops the read rather than lose a line.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[str, int] = {}
+        for batch in batches:
+            stay = []
+            for k, (file, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if block:
+                    if left.get(file):
+                        raise ValueError(f"the leading lines of {file} go beyond its first split")
+                    stay.append(k)
+                elif left.setdefault(file, n):
+                    left[file] -= 1
+                else:
+                    stay.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(stay, pa.int64()))], ["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
+def has_quoted_newlines(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> bool:
+    """Whether a record may go over several lines: whether any line has an odd number of quotes.  One scan of the text."""
+    if not options.quote:
+        return False
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(options.quote), F.lit("")))
+    return not _lines(spark, path, options).where(quotes % 2 == 1).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:
     """All cells as text; short records end in nulls, blank lines are skipped.
 
-    Leading lines are cut off by file in the text scan, so a file isn't split
-    then; without them Spark reads the file's parts side by side.
+    Files are split and read side by side, unless records go over several lines
+    (options.multi_line; looked up by a scan if None): then a file is one task.
+    Leading lines are cut by their place in each file, the header after them,
+    too; lines that look like it later on are records.
     """
     skip = options.skip_leading_lines
-    head = [r[0].lstrip("﻿") for r in spark.read.option("encoding", options.encoding).text(path).limit(skip + 200).collect()][skip:]
-    first = _first_record(head, options)
+    multi = has_quoted_newlines(spark, path, options) if options.multi_line is None else options.multi_line
+    head = [r[0].lstrip("\ufeff") for r in _lines(spark, path, options).limit(skip + 200).collect()][skip:]
+    first, header_lines = _first_record(head, options)
     names = unique_names(first if options.has_header else [None] * len(first))
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    reader = spark.read.schema(schema).option("sep", options.delimiter).option("quote", options.quote).option("escape", options.quote).option("multiLine", True)
-    reader = reader.option("encoding", options.encoding).option("mode", "PERMISSIVE").option("header", options.has_header).option("enforceSchema", True)
-    reader = reader.option("ignoreLeadingWhiteSpace", options.trim_cells).option("ignoreTrailingWhiteSpace", options.trim_cells).option("emptyValue", "").option("nullValue", "￾")
-    if skip:
-        whole = spark.read.text(path, wholetext=True)
-        body = whole.select(F.regexp_replace("value", rf"^(?:[^\n]*\n){{{skip}}}", "").alias("value"))
-        split = body.select(F.explode(F.split("value", r"\r\n|\n|\r")).alias("value")).where("value <> ''")
-        if options.has_header:
-            split = split.where(F.col("value") != head[0].rstrip("\r"))
-        parsed = split.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": options.delimiter, "quote": options.quote, "escape": options.quote}).alias("r"))
-        return parsed.select("r.*").toDF(*names)
-    return reader.csv(path).toDF(*names)
+    how = {"sep": options.delimiter, "quote": options.quote, "escape": options.quote, "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\ufffe"}
+    how |= {"ignoreLeadingWhiteSpace": str(options.trim_cells).lower(), "ignoreTrailingWhiteSpace": str(options.trim_cells).lower()}
+    if not skip:
+        reader = spark.read.schema(schema).options(**how).option("multiLine", multi).option("encoding", options.encoding)
+        found = reader.option("header", options.has_header).option("enforceSchema", True).csv(path)
+        if multi and "\r\n" in head_of(spark, path):  # the parser takes the first line end, which may stand in a cell, for all
+            found = found.select(*(F.regexp_replace(c, r"\r\z", "").alias(c) for c in found.columns))
+        return found.toDF(*names)
+    cut = skip + (header_lines if options.has_header else 0)
+    if multi:
+        whole = _decoded(spark.read.text(path, wholetext=True), options.encoding)
+        body = whole.select(F.regexp_replace("value", rf"\A(?:[^\r\n]*(?:\r\n|\n|\r)){{0,{cut}}}", "").alias("value"))
+        # One text is one document, so the parser may see it as a whole; each goes to a file of its own.
+        copy = shared_folder(spark)
+        body.repartition(max(1, body.count()), F.monotonically_increasing_id()).write.option("lineSep", "\n").text(copy)
+        return spark.read.schema(schema).options(**how).option("multiLine", True).option("header", False).csv(copy).toDF(*names)
+    lines = _without_head(_lines(spark, path, options), cut).where(F.trim("value") != "")
+    kinds = ", ".join(f"{f.name} string" for f in schema.fields)
+    return lines.select(F.from_csv("value", kinds, how).alias("r")).select("r.*").toDF(*names)
 
 
 @dataclass(frozen=True)
@@ -107,10 +177,10 @@ def read_json(spark: SparkSession, path: str, options: JsonOptions = JsonOptions
     Raises for a document that isn't one.
     """
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    text = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 100_000).alias("value")).first()
-    if text is None or not text[0].startswith("["):
+    head = head_of(spark, path).lstrip("\ufeff \t\r\n")
+    if not head.startswith("["):
         raise ValueError("expected a JSON array of objects")
-    return flattened(df.select(*_in_order(df, _head_objects(text[0][1:]))), options)
+    return flattened(df.select(*_in_order(df, _head_objects(head[1:]))), options)
 
 
 def read_jsonl(spark: SparkSession, path: str, options: JsonOptions = JsonOptions()) -> DataFrame:
