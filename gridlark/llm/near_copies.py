@@ -17,7 +17,7 @@ whose first 128 bits differ in more than 44 are left out: that is a third, and
 
 Scale: a class has 64 rows of 16 bytes, from which keys of one class drop out;
 sets are read only for classes that have a candidate.  A class first meets the
-least classes of its keys, the nearest few of them.  Then only keys whose
+least classes of its first keys, the nearest few of them.  Then only keys whose
 classes are not yet in one component are left, and there the classes outside
 the key's largest component meet the others, dealt out in chunks.  So a large
 group of near copies costs rows in proportion to its size.  A task gives back a
@@ -46,8 +46,8 @@ FEATURE = 2
 BLOCKS, BITS = 64, 31
 #: Of the first 128 bits, how many may differ.
 NEAR = 44
-#: Of the least classes of its keys, how many a class meets before components are looked at; later steps see to the rest.
-FIRST = 8
+#: Blocks whose least classes a class meets first, and how many of these, the nearest; later steps see to the rest.
+STAR_BLOCKS, FIRST = 12, 8
 #: Classes that a task holds of a key at once.
 CHUNK = 1024
 #: Features that are worked on at once; their counts fit in a byte.
@@ -245,7 +245,7 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", size: int
     busy = keys.groupBy("key").agg(F.min("name").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = stored(keys.join(busy, "key").select("key", "name", "centre"))
 
-    pairs = keyed.where("name != centre").select("centre", "name").distinct()
+    pairs = keyed.where((F.col("key") < STAR_BLOCKS << 32) & (F.col("name") != F.col("centre"))).select("centre", "name").distinct()
     named = lambda name: prints.select(F.col("name").alias(name), *(F.col(f"print{k}").alias(f"{name}_print{k}") for k in (0, 1)))
     pairs = pairs.join(named("centre"), "centre").join(named("name"), "name").select("name", "centre", _apart("name_", "centre_").alias("apart")).where(F.col("apart") <= NEAR)
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("apart", "centre"))), 1, FIRST)

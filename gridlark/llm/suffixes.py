@@ -51,7 +51,7 @@ LENGTH = 200
 GRAM = 50
 #: Different runs of a gram that a task may gather.
 GATHER = 2000
-#: Tasks that one gram's runs, or one text's rows, are dealt to.
+#: Tasks that one gram's runs are dealt to.
 SALTS = 8
 #: Windows that are looked at in one numpy step, and documents that a task turns into Python objects at a time.
 SLAB = 1 << 17
@@ -163,10 +163,8 @@ def _key(df: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
 
 
 def _joined(rows: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
-    """rows with column of other (a, b, column), whose pairs (a, b) are unique; rows of one text go to SALTS tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    every = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(every, ["a", "b", "_salt"], how).select(*rows.columns, column)
+    """rows with column of other (a, b, column), whose pairs (a, b) are unique; Spark splits the rows of a text that very many have."""
+    return rows.join(other, ["a", "b"], how).select(*rows.columns, column)
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
