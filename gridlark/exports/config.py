@@ -240,12 +240,15 @@ class CubeJson:
         return CubeSpec(self.to_axis(j["rows"]), self.to_axis(j["columns"]), aggregates, self.to_filter(j["filter"]) if j.get("filter") else None)
 
     def expansion(self, e: Expansion) -> object:
+        paths = sorted(([self.value(v) for v in p] for p in e.paths), key=lambda p: (len(p), str(p)))
         if e.depth is not None:
-            return {"depth": e.depth}
-        return sorted(([self.value(v) for v in p] for p in e.paths), key=lambda p: (len(p), str(p)))
+            return {"depth": e.depth} | ({"paths": paths} if paths else {})
+        return paths
 
     def to_expansion(self, j: Any) -> Expansion:
-        return Expansion.to_depth(j["depth"]) if isinstance(j, dict) else Expansion.of(tuple(map(self.to_value, p)) for p in j)
+        paths = j.get("paths", []) if isinstance(j, dict) else j
+        found = Expansion.of(tuple(map(self.to_value, p)) for p in paths)
+        return Expansion(found.paths, j["depth"]) if isinstance(j, dict) else found
 
     def config(self, cube: Cube, schema: Schema | None = None) -> dict:
         members = {

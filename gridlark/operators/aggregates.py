@@ -56,10 +56,12 @@ _SPREAD = ("stdev", "stdevp", "var", "varp")
 class BaseAggregate(Aggregate):
     #: 0 rather than null in a cell without facts.
     counts = False
-    mergeable = True
 
-    def partials(self, facts: FactTable) -> dict[str, tuple[Column, Callable[[Column], Column]]]:
-        """State column -> (aggregate over facts, how states of several groups merge)."""
+    def partials(self, facts: FactTable) -> dict[str, tuple[Column, Callable[[Column], Column] | None]]:
+        """State column -> (aggregate over facts, how states of several groups merge; None for moments).
+
+        Moments are structs of n, mean and m2, the sum of squares about the mean.
+        """
         raise NotImplementedError
 
     def result(self, state: Callable[[str], Column]) -> Column:
@@ -88,10 +90,6 @@ class MeasureAggregate(BaseAggregate):
     def counts(self) -> bool:  # type: ignore[override]
         return self.function == "count"
 
-    @property
-    def mergeable(self) -> bool:  # type: ignore[override]
-        return self.function not in _SPREAD
-
     def partials(self, facts: FactTable) -> dict:
         x, m = self.measure.column(facts), self.measure.id
         number = {f"count {m}": (F.count(x), F.sum)}
@@ -105,15 +103,15 @@ class MeasureAggregate(BaseAggregate):
             return total
         if self.function == "avg":
             return number | total
-        # Spark's own moments are stable at large means, but their states can't be had; so these come from the facts.
-        return {f"moments {m}": (F.struct(F.count(x).alias("n"), F.var_pop(x).alias("var")), None)}
+        n = F.count(x)
+        return {f"moments {m}": (F.struct(n.alias("n"), F.avg(x).cast("double").alias("mean"), (F.var_pop(x) * n).alias("m2")), None)}
 
     def result(self, state: Callable[[str], Column]) -> Column:
         m = self.measure.id
         if self.function in _SPREAD:
             s = state(f"moments {m}")
-            n = s["n"] - 1
-            variance = F.when(n > 0, s["var"] * s["n"] / n) if self.function in ("stdev", "var") else s["var"]
+            n = s["n"] - 1 if self.function in ("stdev", "var") else s["n"]
+            variance = F.when(n > 0, s["m2"] / n)
             return F.sqrt(variance) if self.function.startswith("stdev") else variance
         if self.function == "avg":
             return F.when(state(f"count {m}") > 0, state(f"sum {m}") / state(f"count {m}"))

@@ -2,37 +2,88 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.operators.aggregates import Aggregate
 from gridlark.operators.dimensions import ColumnMeasure, Dimension, Measure
-from gridlark.operators.facts import FactTable
-from gridlark.operators.filters import FactFilter
+from gridlark.operators.facts import FactTable, all_of
+from gridlark.operators.filters import FactFilter, literal
 from gridlark.plans.cube import AxisDimension, AxisSort, Cube, CubeAxis, CubeSpec, Expansion
 
 
-def entries(axis: DataFrame, kind: str = "leaves", level: int | None = None) -> DataFrame:
-    """Entries of an axis frame: leaves (what isn't open, and the summary only if it stands alone), all, or a level."""
+def entries(axis: DataFrame, kind: str | list[tuple] = "leaves", level: int | None = None) -> DataFrame:
+    """Entries of an axis frame: leaves (what isn't open, and the summary only if it stands alone), all, a level, or a list of paths.
+
+    Those of a list have their place in it as place; paths without an entry are left out.
+    """
+    if not isinstance(kind, str):
+        names = sorted(c for c in axis.columns if c[0] in "rc" and c[1:].isdigit())
+        found = [
+            axis.where(F.col("has_entry") & (F.col("depth") == len(path)) & all_of(F.col(n).eqNullSafe(literal(v)) for n, v in zip(names, path, strict=False))).withColumn("place", F.lit(k))
+            for k, path in enumerate(kind)
+            if len(path) <= len(names)
+        ]
+        return reduce(DataFrame.unionByName, found, axis.where(F.lit(False)).withColumn("place", F.lit(0)))
     if kind == "all":
         return axis.where("has_entry")
     if kind == "level":
         return axis.where(F.col("depth") == level)
-    alone = axis.where("depth > 0").isEmpty()
-    return axis.where("has_entry") if alone else axis.where(~F.col("open") & (F.col("depth") > 0))
+    # The summary is a leaf only where it is all there is; that one row tells.
+    below = axis.agg(F.coalesce(F.max(F.when(F.col("depth") > 0, 1)), F.lit(0)).alias("_below"))
+    found = axis.join(F.broadcast(below), F.lit(True)).where(F.col("has_entry") & F.when(F.col("_below") == 1, ~F.col("open") & (F.col("depth") > 0)).otherwise(True))
+    return found.drop("_below")
 
 
-def chart_from_cube(cube: Cube, aggregate: Aggregate, rows: str = "leaves", columns: str = "leaves", transpose: bool = False) -> DataFrame:
-    """category_pos, category, series_pos, series, value: arrays of group values by entry; a cell without facts is a gap."""
-    grid = cube.grid
-    keys = lambda frame, s: frame.select(F.col("ord").alias(f"_{s}"))
-    kept = grid.join(keys(entries(cube.row_entries, rows), "r"), F.col("ro") == F.col("_r")).join(keys(entries(cube.column_entries, columns), "c"), F.col("co") == F.col("_c"))
-    value = F.when(F.col("facts") > 0, F.col(cube._name(aggregate)))
+def _of_layout(cube: Cube, aggregates: dict[str, Aggregate], rows: str | list[tuple], columns: str | list[tuple], row_level: int | None, column_level: int | None) -> DataFrame:
+    """rpos, row, cpos, column, facts and a column for each aggregate of the chosen entries; positions in a list are those of the list."""
+
+    def keys(frame: DataFrame, kind: str | list[tuple], level: int | None, s: str) -> DataFrame:
+        found = entries(frame, kind, level)
+        return found.select(F.col("ord").alias(f"_{s}"), F.col("pos" if isinstance(kind, str) else "place").alias(f"_{s}pos"))
+
+    kept = cube.grid.join(keys(cube.row_entries, rows, row_level, "r"), F.col("ro") == F.col("_r")).join(keys(cube.column_entries, columns, column_level, "c"), F.col("co") == F.col("_c"))
     path = lambda s, n: F.slice(F.array(*(F.col(f"{s}{k}").cast("string") for k in range(n)), F.lit(None).cast("string")), 1, F.col(f"{s}d"))
-    row = [F.col("rpos"), path("r", cube._rows.levels)]
-    column = [F.col("cpos"), path("c", cube._columns.levels)]
-    (cp, c), (sp, s) = (column, row) if transpose else (row, column)
-    return kept.select(cp.alias("category_pos"), c.alias("category"), sp.alias("series_pos"), s.alias("series"), value.alias("value"))
+    values = [F.when(F.col("facts") > 0, F.col(cube._name(a))).alias(n) for n, a in aggregates.items()]
+    return kept.select(F.col("_rpos").alias("rpos"), path("r", cube._rows.levels).alias("row"), F.col("_cpos").alias("cpos"), path("c", cube._columns.levels).alias("column"), "facts", *values)
+
+
+def chart_from_cube(
+    cube: Cube,
+    aggregate: Aggregate,
+    rows: str | list[tuple] = "leaves",
+    columns: str | list[tuple] = "leaves",
+    transpose: bool = False,
+    row_level: int | None = None,
+    column_level: int | None = None,
+) -> DataFrame:
+    """category_pos, category, series_pos, series, value: arrays of group values by entry; a cell without facts is a gap.
+
+    rows and columns say which entries: see entries().
+    """
+    found = _of_layout(cube, {"value": aggregate}, rows, columns, row_level, column_level)
+    (cp, c), (sp, s) = (("cpos", "column"), ("rpos", "row")) if transpose else (("rpos", "row"), ("cpos", "column"))
+    return found.select(F.col(cp).alias("category_pos"), F.col(c).alias("category"), F.col(sp).alias("series_pos"), F.col(s).alias("series"), "value")
+
+
+def scatter_from_cube(
+    cube: Cube,
+    x: Aggregate,
+    y: Aggregate,
+    points: str | list[tuple] = "leaves",
+    series: str | list[tuple] = "leaves",
+    transpose: bool = False,
+) -> DataFrame:
+    """point_pos, point, series_pos, series, x, y, facts: one point for each chosen row entry in each chosen column entry's series.
+
+    Points without one of the coordinates are left out; transpose takes points from the columns.
+    """
+    found = _of_layout(cube, {"x": x, "y": y}, series if transpose else points, points if transpose else series, None, None)
+    (pp, p), (sp, s) = (("cpos", "column"), ("rpos", "row")) if transpose else (("rpos", "row"), ("cpos", "column"))
+    made = found.select(F.col(pp).alias("point_pos"), F.col(p).alias("point"), F.col(sp).alias("series_pos"), F.col(s).alias("series"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "facts")
+    return made.where("x is not null and y is not null")
 
 
 def chart_from_facts(
@@ -107,6 +158,11 @@ def scatter_of_groups(facts: FactTable, group: Dimension, x: Aggregate, y: Aggre
     return found.select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
 
 
+def scatter_from_cell(cube: Cube, group: Dimension, x: Aggregate, y: Aggregate, row: tuple = (), column: tuple = ()) -> DataFrame:
+    """scatter_of_groups over the facts of a cell."""
+    return scatter_of_groups(cube.facts, group, x, y, cube.cell_filter(row, column))
+
+
 def _measure(facts: FactTable, m: Measure | str) -> Column:
     return (ColumnMeasure(m) if isinstance(m, str) else m).column(facts)
 

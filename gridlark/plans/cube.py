@@ -4,6 +4,11 @@ The plan of a cube's cells is one grouping: facts, filtered, are aggregated once
 at the finest visible level; every other level comes from those groups by
 grouping sets over row prefixes x column prefixes.  Depth columns, not nulls,
 tell a rolled-up axis from the group of missing values.
+
+Two or more distinct counts each have finest groups of their own, cut by the
+counted dimension.  Standard deviations merge in a second look at the finest
+groups: their squares are moved to each cell's own mean, so large means lose
+nothing.
 """
 
 from __future__ import annotations
@@ -12,13 +17,14 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gridlark.operators.aggregates import COUNT, Aggregate, BaseAggregate, DerivedAggregate, DistinctCountAggregate, LayoutAggregate, innermost
 from gridlark.operators.dimensions import Dimension
 from gridlark.operators.facts import FactTable, all_of, any_of
 from gridlark.operators.filters import AndFilter, FactFilter, ValueFilter, literal
+from gridlark.sources.folders import shared_folder
 
 Path = tuple
 
@@ -88,7 +94,7 @@ class CubeSpec:
 
 @dataclass(frozen=True)
 class Expansion:
-    """Open groups of an axis: a set of paths with all their prefixes, or every group above a depth."""
+    """Open groups of an axis: a set of paths with all their prefixes, and every group above a depth, if there is one."""
 
     paths: frozenset[Path] = frozenset({()})
     depth: int | None = None
@@ -107,7 +113,7 @@ class Expansion:
         return cls(frozenset())
 
     def is_open(self, path: Path) -> bool:
-        return len(path) < self.depth if self.depth is not None else tuple(path) in self.paths
+        return (self.depth is not None and len(path) < self.depth) or tuple(path) in self.paths
 
     def expand(self, path: Path) -> Expansion:
         return Expansion(self._set() | Expansion.of([path]).paths)
@@ -118,11 +124,13 @@ class Expansion:
     def toggle(self, path: Path) -> Expansion:
         return self.collapse(path) if self.is_open(path) else self.expand(path)
 
+    def expand_level(self, level: int) -> Expansion:
+        """Opens every group of a level (0: the root) and above; what is open further down stays so."""
+        return Expansion(self.paths, max(self.depth or 0, level + 1))
+
     def collapse_level(self, level: int) -> Expansion:
         """Closes the groups of a level (0: the root) and all below."""
-        if self.depth is not None:
-            return Expansion.to_depth(min(self.depth, level))
-        return Expansion(frozenset(p for p in self.paths if len(p) < level))
+        return Expansion(frozenset(p for p in self.paths if len(p) < level), None if self.depth is None else min(self.depth, level))
 
     def retain(self, keep) -> Expansion:
         return Expansion.of(p for p in self._set() if keep(p)) if self._set() else self
@@ -133,15 +141,14 @@ class Expansion:
         return self.paths
 
     def visible_depth(self, levels: int) -> int:
-        deepest = self.depth if self.depth is not None else max((len(p) + 1 for p in self.paths), default=0)
-        return min(deepest, levels)
+        return min(max([self.depth or 0, *(len(p) + 1 for p in self.paths)]), levels)
 
     def parent_open(self, depth: Column, values: list[Column]) -> Column:
         """Whether the group at depth with these values stands in an open group; the root always stands."""
-        if self.depth is not None:
+        if self.depth is not None and not any(len(p) >= self.depth for p in self.paths):
             return depth <= self.depth
         at = [(depth == len(p) + 1) & all_of(v.eqNullSafe(literal(x)) for v, x in zip(values, p, strict=False)) for p in self.paths if len(p) <= len(values)]
-        return (depth == 0) | any_of(at)
+        return (depth <= (self.depth or 0)) | any_of(at)
 
 
 _LAST = 2**31 - 1
@@ -164,11 +171,21 @@ class _Axis:
         return [f"{self.side}{k}" for k in range(self.levels if upto is None else upto)]
 
 
+#: Cells up to which a layout is worked out in one task, from a copy on the driver; larger ones are dealt out.
+SMALL_LAYOUT = 20_000
+
+
 class Cube:
-    """Frames of a cube; every one is lazy, none holds more rows than the visible layout."""
+    """Frames of a cube; none holds more rows than the visible layout.
 
-    def __init__(self, facts: FactTable, spec: CubeSpec, rows: Expansion | None = None, columns: Expansion | None = None):
+    cells and table() are lazy.  Entries and grids are worked out over the
+    cells, which are computed when the first of them is asked for.
+    """
+
+    def __init__(self, facts: FactTable, spec: CubeSpec, rows: Expansion | None = None, columns: Expansion | None = None, base: DataFrame | None = None):
         self.facts, self.spec = facts, spec
+        #: Finest groups of all dimensions, as prepared() stores them.
+        self._base = base
         self.row_expansion = rows if rows is not None else Expansion()
         self.column_expansion = columns if columns is not None else Expansion()
         levels = lambda e, axis: e.visible_depth(len(axis.dimensions))
@@ -204,72 +221,150 @@ class Cube:
     # Cells
 
     def _with(self, rows: Expansion | None = None, columns: Expansion | None = None) -> Cube:
-        return Cube(self.facts, self.spec, rows if rows is not None else self.row_expansion, columns if columns is not None else self.column_expansion)
+        return Cube(self.facts, self.spec, rows if rows is not None else self.row_expansion, columns if columns is not None else self.column_expansion, self._base)
 
     @cached_property
     def _filtered(self) -> FactTable:
         return self.facts.where(self.spec.filter.condition(self.facts)) if self.spec.filter else self.facts
 
     @cached_property
-    def _finest(self) -> tuple[DataFrame, dict, bool]:
-        """(frame with keys and states, state -> merge, whether states are to be merged)."""
-        facts = self._filtered
-        bases = [a for a in self._order if isinstance(a, BaseAggregate)]
-        keys = {}
+    def _distinct(self) -> list[DistinctCountAggregate]:
+        return [a for a in self._order if isinstance(a, DistinctCountAggregate)]
+
+    def _keys(self, every: bool = False) -> dict[str, Column]:
+        """Columns of the visible dimensions, or of all."""
+        found = {}
         for axis in (self._rows, self._columns):
-            for name, d in zip(axis.names(), axis.axis.dimensions, strict=False):
-                keys[name] = d.dimension.column(facts)
-        distinct = [a for a in bases if isinstance(a, DistinctCountAggregate)]
-        states: dict = {}
-        for a in bases:
-            if a not in distinct:
-                states |= a.partials(facts)
-        folded = {f"s{k}": fold for k, (fold, _) in enumerate(states.values())}
-        merges = {f"s{k}": merge for k, (_, merge) in enumerate(states.values())}
-        counted = {self._name(a): a.dimension.column(facts) for a in distinct}
-        self._state_names = {name: f"s{k}" for k, name in enumerate(states)}
-        if all(a.mergeable for a in bases):
-            grouped = facts.frame.groupBy(*(c.alias(n) for n, c in (keys | counted).items()))
-            return grouped.agg(*(c.alias(n) for n, c in folded.items())), merges, True
-        columns = [F.col(c.inner) for c in facts.columns]
-        return facts.frame.select(*columns, *(c.alias(n) for n, c in (keys | counted).items())), folded, False
+            names = axis.names(len(axis.axis.dimensions) if every else None)
+            for name, d in zip(names, axis.axis.dimensions, strict=False):
+                found[name] = d.dimension.column(self._filtered)
+        return found
+
+    @cached_property
+    def _partials(self) -> dict:
+        found: dict = {}
+        for a in self._order:
+            if isinstance(a, BaseAggregate) and a not in self._distinct:
+                found |= a.partials(self._filtered)
+        return found
+
+    @property
+    def _state_names(self) -> dict[str, str]:
+        return {name: f"s{k}" for k, name in enumerate(self._partials)}
+
+    def groups(self, counted: list[DistinctCountAggregate], every: bool = False) -> DataFrame:
+        """The finest groups with their states, cut by the counted dimensions, too; of all dimensions or the visible ones."""
+        keys = self._keys(every) | {self._name(a): a.dimension.column(self._filtered) for a in counted}
+        grouped = self._filtered.frame.groupBy(*(c.alias(n) for n, c in keys.items()))
+        return grouped.agg(*(fold.alias(f"s{k}") for k, (fold, _) in enumerate(self._partials.values())))
+
+    @property
+    def _together(self) -> list[DistinctCountAggregate]:
+        """Distinct counts whose dimensions cut the one set of finest groups."""
+        return self._distinct if len(self._distinct) < 2 or self._base is not None else []
+
+    @cached_property
+    def _finest(self) -> DataFrame:
+        return self._base if self._base is not None else self.groups(self._together)
+
+    def prepared(self) -> Cube:
+        """This cube over stored groups of all its dimensions: what is opened and closed later reads no facts.
+
+        Worth it where the groups are few against the facts.
+        """
+        path = shared_folder(self.facts.frame.sparkSession)
+        found = self.groups(self._distinct, every=True)
+        found.write.parquet(path)
+        return Cube(self.facts, self.spec, self.row_expansion, self.column_expansion, found.sparkSession.read.schema(found.schema).parquet(path))
 
     @cached_property
     def cells(self) -> DataFrame:
         """rd, r0.., cd, c0.., and a column for each base and derived aggregate: one row for each cell with facts."""
-        return self._rolled_up(*self._finest)
+        apart = {} if self._together == self._distinct else {a: self._of_counted(a) for a in self._distinct}
+        return self._rolled_up(self._finest, apart)
+
+    def _of_counted(self, a: DistinctCountAggregate) -> DataFrame:
+        keys = self._keys() | {self._name(a): a.dimension.column(self._filtered)}
+        return self._filtered.frame.select(*(c.alias(n) for n, c in keys.items())).where(F.col(self._name(a)).isNotNull()).distinct()
 
     def over_groups(self, finest: DataFrame) -> DataFrame:
-        """table() from finest groups that were aggregated elsewhere, as a stream's are."""
-        return self._labelled_cells(self._rolled_up(finest, self._finest[1], True), lambda i: i)
+        """table() from finest groups that were aggregated elsewhere, as a stream's are: see groups()."""
+        return self._labelled_cells(self._rolled_up(finest, {}), lambda i: i)
 
-    def _rolled_up(self, finest: DataFrame, states: dict, merge: bool) -> DataFrame:
+    @property
+    def _sets(self) -> list[list[str]]:
         rows, columns = self._rows, self._columns
-        sets = [rows.names(i) + columns.names(j) for i in range(rows.levels + 1) for j in range(columns.levels + 1)]
-        keys = rows.names() + columns.names()
-        made = [(states[n](F.col(n)) if merge else states[n]).alias(n) for n in states]
-        for a in self._order:
-            if isinstance(a, DistinctCountAggregate):
-                made.append(F.count_distinct(F.col(self._name(a))).alias(f"n_{self._name(a)}"))
+        return [rows.names(i) + columns.names(j) for i in range(rows.levels + 1) for j in range(columns.levels + 1)]
+
+    def _grouped(self, frame: DataFrame, made: list[Column]) -> DataFrame:
+        """_bits (which keys are rolled up), keys, and made over the grouping sets."""
+        keys = self._rows.names() + self._columns.names()
         if keys:
-            bits = F.grouping_id().alias("_bits")
-            grouped = finest.groupingSets(sets, *keys).agg(bits, *made)
-        else:
-            grouped = finest.agg(*made).where(self._state("facts") > 0).withColumn("_bits", F.lit(0))
+            return frame.groupingSets(self._sets, *keys).agg(F.grouping_id().alias("_bits"), *made)
+        return frame.agg(*made).withColumn("_bits", F.lit(0).cast("long"))
+
+    def _joined(self, cells: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
+        """cells with columns of more, both by _bits and keys; null keys are equal."""
+        names = ["_bits", *self._rows.names(), *self._columns.names()]
+        more = more.select(*(F.col(n).alias(f"_of{n}") for n in names), *columns)
+        return cells.join(more, all_of(F.col(n).eqNullSafe(F.col(f"_of{n}")) for n in names), "left").drop(*(f"_of{n}" for n in names))
+
+    def _rolled_up(self, finest: DataFrame, apart: dict[DistinctCountAggregate, DataFrame]) -> DataFrame:
+        rows, columns = self._rows, self._columns
+        made, spread = [], []
+        for k, (_, merge) in enumerate(self._partials.values()):
+            state = F.col(f"s{k}")
+            if merge is None:
+                spread.append(f"s{k}")
+                n = F.sum(state["n"])
+                made.append(F.struct(n.alias("n"), (F.sum(state["n"] * state["mean"]) / F.nullif(n, F.lit(0))).alias("mean")).alias(f"s{k}"))
+            else:
+                made.append(merge(state).alias(f"s{k}"))
+        counted = lambda a: F.count_distinct(F.col(self._name(a))).alias(f"n_{self._name(a)}")
+        grouped = self._grouped(finest, made + [counted(a) for a in self._distinct if a not in apart])
         depth = lambda names, shift: len(names) - F.bit_count(F.shiftright("_bits", shift).bitwiseAND(F.lit((1 << len(names)) - 1)))
         placed = grouped.withColumns({"rd": depth(rows.names(), columns.levels).cast("int"), "cd": depth(columns.names(), 0).cast("int")})
         visible = placed.where(self._state("facts") > 0)
         for axis in (rows, columns):
             visible = visible.where(axis.expansion.parent_open(F.col(axis.depth), [F.col(n) for n in axis.names()]))
+        for a, frame in apart.items():
+            name = f"n_{self._name(a)}"
+            visible = self._joined(visible, self._grouped(frame, [counted(a)]), [name]).na.fill(0, [name])
+        if spread:
+            visible = self._with_squares(visible, finest, spread)
         return self._valued(visible).select("rd", *rows.names(), "cd", *columns.names(), *(self._name(a) for a in self._plain))
 
+    def _with_squares(self, cells: DataFrame, finest: DataFrame, spread: list[str]) -> DataFrame:
+        """cells, whose spread states have n and mean, with m2: the groups' own and those of their means about the cell's."""
+        keys = self._rows.names() + self._columns.names()
+
+        def place(of: list[str]) -> Column:
+            bits = sum(1 << (len(keys) - 1 - k) for k, name in enumerate(keys) if name not in of)
+            values = [(F.col(n) if n in of else F.lit(None).cast(finest.schema[n].dataType)).alias(n) for n in keys]
+            return F.struct(F.lit(bits).cast("long").alias("_bits"), *values)
+
+        parts = finest.select(F.explode(F.array(*map(place, self._sets))).alias("_at"), *spread).select("_at.*", *(F.col(s).alias(f"_{s}") for s in spread))
+        means = cells.select("_bits", *keys, *(F.col(s)["mean"].alias(f"_mean_{s}") for s in spread))
+        moved = lambda s: F.col(f"_{s}")["m2"] + F.col(f"_{s}")["n"] * F.pow(F.col(f"_{s}")["mean"] - F.col(f"_mean_{s}"), F.lit(2))
+        met = self._joined(parts, means, [f"_mean_{s}" for s in spread])
+        squares = met.groupBy("_bits", *keys).agg(*(F.sum(moved(s)).alias(f"_m2_{s}") for s in spread))
+        found = self._joined(cells, squares, [f"_m2_{s}" for s in spread])
+        return found.withColumns({s: F.struct(F.col(s)["n"].alias("n"), F.col(s)["mean"].alias("mean"), F.col(f"_m2_{s}").alias("m2")) for s in spread})
+
     @cached_property
     def _kept(self) -> DataFrame:
-        """cells, kept for the several parts of a layout: no more rows than it shows, and recomputed if lost."""
-        return self.cells.persist()
+        """cells, for the several parts of a layout.
 
-    def release(self) -> None:
-        self._kept.unpersist()
+        Few cells are copied to the driver, from where one task works out the
+        layout without a shuffle; more are stored in the shared folder.
+        """
+        spark = self.facts.frame.sparkSession
+        few = self.cells.limit(SMALL_LAYOUT + 1).toArrow()
+        if few.num_rows <= SMALL_LAYOUT:
+            return spark.createDataFrame(few, self.cells.schema).coalesce(1)
+        path = shared_folder(spark)
+        self.cells.write.parquet(path)
+        return spark.read.schema(self.cells.schema).parquet(path)
 
     def _state(self, name: str) -> Column:
         return F.col(self._state_names[name])
@@ -326,7 +421,7 @@ class Cube:
             levels.append(here.select(*axis.names(), "facts", "ord").withColumn("depth", F.lit(d)))
         found = reduce(DataFrame.unionByName, levels)
         inner = F.col("depth") < axis.levels
-        is_open = F.lit(True) if axis.expansion.depth is not None else axis.expansion.parent_open(F.col("depth") + 1, [F.col(n) for n in axis.names()])
+        is_open = axis.expansion.parent_open(F.col("depth") + 1, [F.col(n) for n in axis.names()])
         return found.withColumn("open", inner & is_open)
 
     def _keyed(self, here: DataFrame, axis: _Axis, other: _Axis, sort: AxisSort) -> DataFrame:
@@ -363,6 +458,83 @@ class Cube:
         """depth, c0.., facts, ord, open, has_entry, pos."""
         return self._displayed(self._columns, self._rows)
 
+    # Looking things up in a layout
+
+    def _side(self, side: str) -> tuple[_Axis, DataFrame]:
+        if side not in ("rows", "columns"):
+            raise ValueError("a side is rows or columns")
+        return (self._rows, self.row_entries) if side == "rows" else (self._columns, self.column_entries)
+
+    def entry_for(self, side: str, path: Path) -> Row | None:
+        """The entry of a visible group, shown or hidden; None if there is none."""
+        axis, entries = self._side(side)
+        if len(path) > axis.levels:
+            return None
+        same = all_of(F.col(n).eqNullSafe(literal(v)) for n, v in zip(axis.names(), path, strict=False))
+        return entries.where((F.col("depth") == len(path)) & same).first()
+
+    def index_of(self, side: str, path: Path) -> int:
+        """The place of a group's entry in display order; -1 if it has none."""
+        found = self.entry_for(side, path)
+        return -1 if found is None or found["pos"] is None else found["pos"]
+
+    def cell_at(self, row: int, column: int) -> Row | None:
+        """The cell at two places in display order."""
+        return self.result(hidden=False).where((F.col("row_pos") == row) & (F.col("column_pos") == column)).first()
+
+    def cell_for(self, row: Path = (), column: Path = ()) -> Row | None:
+        """The cell of two paths; None if one of them has no entry."""
+        i, j = self.index_of("rows", row), self.index_of("columns", column)
+        return self.cell_at(i, j) if i >= 0 and j >= 0 else None
+
+    def _prefixes(self, entries: DataFrame) -> DataFrame:
+        """(at, first, n): the places that the shown entries of a group and of its descendants take, by the group's ord."""
+        shown = entries.where("has_entry and depth > 0")
+        every = shown.select("pos", F.explode(F.transform(F.sequence(F.lit(1), "depth"), lambda k: F.slice("ord", 1, k))).alias("at"))
+        return every.groupBy("at").agg(F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"))
+
+    def descendant_counts(self, side: str) -> DataFrame:
+        """(pos, descendants): shown entries below each shown entry; 0 for the summary."""
+        _, entries = self._side(side)
+        runs = self._prefixes(entries)
+        found = entries.where("has_entry").join(runs, F.col("ord") == F.col("at"), "left")
+        return found.select("pos", F.when(F.col("depth") == 0, 0).otherwise(F.coalesce(F.col("n"), F.lit(1)) - 1).alias("descendants"))
+
+    def header_areas(self, side: str) -> DataFrame:
+        """(level, pos, depth, entry, level_start, level_span, entry_start, entry_span, is_label) of every header place.
+
+        An open group's label spans its whole run of entries on its level, with
+        a blank leg below it on its own row; any other label goes down to the
+        last level, the summary's over all of them.  depth and entry tell whose
+        area it is (entry -1: a group without an entry of its own).
+        """
+        axis, entries = self._side(side)
+        levels = len(axis.axis.dimensions)
+        shown = entries.where("has_entry").select("pos", "depth", "ord", (F.col("open") & (F.col("depth") < levels)).alias("open"))
+        places = shown.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(levels, 1) - 1))))
+        # Whose area it is: an ancestor's above the entry's own level, else its own.
+        places = places.withColumn("owner", F.least(F.col("level") + 1, "depth"))
+        runs = self._prefixes(entries)
+        own = shown.where("depth > 0").select(F.col("ord").alias("_own"), F.col("pos").alias("entry"))
+        at = F.slice("ord", 1, F.col("owner"))
+        met = places.withColumn("_at", at).join(runs, F.col("_at") == F.col("at"), "left").join(own, F.col("_at") == F.col("_own"), "left")
+        root, above, label = F.col("depth") == 0, F.col("level") < F.col("depth") - 1, F.col("level") == F.col("depth") - 1
+        run = above | (label & F.col("open"))
+        leg = ~root & ~above & ~label & F.col("open")
+        level_start = F.when(root, 0).when(run, F.col("level")).when(leg, F.col("depth")).otherwise(F.col("depth") - 1)
+        level_span = F.when(root, max(levels, 1)).when(run, 1).when(leg, levels - F.col("depth")).otherwise(levels - F.col("depth") + 1)
+        return met.select(
+            "level",
+            "pos",
+            F.col("owner").alias("depth"),
+            F.when(root, F.col("pos")).otherwise(F.coalesce("entry", F.lit(-1))).alias("entry"),
+            level_start.cast("int").alias("level_start"),
+            level_span.cast("int").alias("level_span"),
+            F.when(run, F.col("first")).otherwise(F.col("pos")).alias("entry_start"),
+            F.when(run, F.col("n")).otherwise(1).alias("entry_span"),
+            (~leg).alias("is_label"),
+        )
+
     # The grid
 
     @cached_property
@@ -388,7 +560,7 @@ class Cube:
             keys = entries.select(F.col(f"{s}d").alias("_d"), *(F.col(n).alias(f"_{n}") for n in axis.names()), F.col(f"{s}o").alias(f"_{s}o"))
             on = (F.col(f"{s}d") == F.col("_d")) & all_of(F.col(n).eqNullSafe(F.col(f"_{n}")) for n in axis.names())
             cells = cells.join(keys, on).drop("_d", *axis.names(), f"{s}d", *(f"_{n}" for n in axis.names()))
-        dense = rows.crossJoin(columns)
+        dense = rows.crossJoin(F.broadcast(columns) if columns.count() <= SMALL_LAYOUT else columns)
         dense = dense.join(cells, (F.col("ro") == F.col("_ro")) & (F.col("co") == F.col("_co")), "left").drop("_ro", "_co")
         zeros = {self._name(a): F.coalesce(self._name(a), F.lit(0)) for a in self._order if isinstance(a, BaseAggregate) and a.counts}
         dense = self._derived(dense.withColumns(zeros))
@@ -436,13 +608,35 @@ class Cube:
             Expansion.to_depth(columns) if columns is not None else None,
         )
 
+    def expand_level(self, side: str, level: int) -> Cube:
+        """Every group of a level (0: of the first dimension) opened, and those above."""
+        if side == "rows":
+            return self._with(rows=self.row_expansion.expand_level(level + 1))
+        return self._with(columns=self.column_expansion.expand_level(level + 1))
+
+    def collapse_level(self, side: str, level: int) -> Cube:
+        if side == "rows":
+            return self._with(rows=self.row_expansion.collapse_level(level + 1))
+        return self._with(columns=self.column_expansion.collapse_level(level + 1))
+
+    def added_by_expanding_level(self, side: str, level: int) -> int:
+        """Entries that expand_level would add; no cell is computed for it."""
+
+        def entries(cube: Cube) -> int:
+            axis, expansion = (cube.spec.rows, cube.row_expansion) if side == "rows" else (cube.spec.columns, cube.column_expansion)
+            plain = replace(axis, dimensions=tuple(AxisDimension(d.dimension) for d in axis.dimensions))
+            alone = Cube(cube.facts, CubeSpec(rows=plain, filter=cube.spec.filter), expansion)
+            return alone.row_entries.where("has_entry").count()
+
+        return entries(self.expand_level(side, level)) - entries(self)
+
     def child_counts(self, side: str = "rows") -> DataFrame:
         """(depth, values.., children): groups on the next level of each visible group that has one, open or not."""
         axis = self._rows if side == "rows" else self._columns
         dims = [d.dimension for d in axis.axis.dimensions]
         upto = min(axis.levels + 1, len(dims))
         named = [d.column(self._filtered).alias(f"{axis.side}{k}") for k, d in enumerate(dims[:upto])]
-        groups = self._filtered.frame.select(*named).distinct()
+        groups = (self._base.select(*(f"{axis.side}{k}" for k in range(upto))) if self._base is not None else self._filtered.frame.select(*named)).distinct()
         parts = []
         for d in range(upto):
             own = groups.select(*(f"{axis.side}{k}" for k in range(d + 1))).distinct()

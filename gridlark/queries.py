@@ -703,13 +703,13 @@ def drill_through_cell(spark, sf_dir):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from gridlark import ingest_queries
+    from gridlark import ingest_queries, layout_queries
 
-    return QUERIES | ingest_queries.QUERIES
+    return QUERIES | ingest_queries.QUERIES | layout_queries.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    from gridlark import ingest_queries
+    from gridlark import ingest_queries, layout_queries
 
-    return SQL | ingest_queries.SQL
+    return SQL | ingest_queries.SQL | layout_queries.SQL
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.operators.facts import ColumnType, FactTable
-from gridlark.sources.schema import DATE_FORMATS, NULL_VALUES, STANDARD, ColumnSpec, DatePattern, NumberSyntax, Schema, trimmed
+from gridlark.sources.schema import DATE_FORMATS, NULL_VALUES, STANDARD, ColumnSpec, DatePattern, NumberSyntax, Schema, is_midnight, trimmed
 
 #: Narrowest first.
 _ORDER = (ColumnType.INTEGER, ColumnType.NUMBER, ColumnType.BOOLEAN, ColumnType.DATE, ColumnType.DATE_TIME, ColumnType.TEXT)
@@ -82,6 +83,12 @@ def _declared(kind: T.DataType) -> ColumnType:
     return ColumnType.DATE_TIME if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else ColumnType.TEXT
 
 
+class ImportIssue(NamedTuple):
+    column: str
+    raw: str
+    message: str
+
+
 @dataclass(frozen=True)
 class ImportReport:
     rows: int
@@ -89,8 +96,8 @@ class ImportReport:
     nullified: dict[str, int] = field(default_factory=dict)
     #: Column -> the type it was widened to.
     widened: dict[str, ColumnType] = field(default_factory=dict)
-    #: The first misfits: (column, raw text).
-    issues: tuple[tuple[str, str], ...] = ()
+    #: Misfits, the least ones by column and text, as rows have no number here.
+    issues: tuple[ImportIssue, ...] = ()
     truncated: bool = False
 
 
@@ -107,8 +114,10 @@ def load_facts(df: DataFrame, schema: Schema | None = None, on_mismatch: str = "
     """Facts of a raw frame and what happened.
 
     A cell that doesn't fit its column's type widens the column (to the
-    narrowest type that all its cells fit, else text, from the raw texts of all
-    rows), becomes null (nullify) or stops the import (fail).
+    narrowest type that all its cells fit, else text), becomes null (nullify)
+    or stops the import (fail).  In a column that became text, cells that had
+    the type it was given are told by their values (007 is 7), others by their
+    raw texts.
     """
     if on_mismatch not in ("widen", "nullify", "fail"):
         raise ValueError("a mismatch can widen, nullify or fail")
@@ -121,27 +130,43 @@ def load_facts(df: DataFrame, schema: Schema | None = None, on_mismatch: str = "
     misfit = {s.name: present[s.name].isNotNull() & of(s).isNull() for s in specs if s.type is not ColumnType.TEXT}
     counts = raw.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(f"m{k}") for k, c in enumerate(misfit.values()))).first()
     bad = {n: counts[f"m{k}"] for k, n in enumerate(misfit) if counts[f"m{k}"]}
-    issues = _issues(raw, {n: (misfit[n], present[n]) for n in bad}, max_issues + 1)
+    issues = _issues(raw, {n: (misfit[n], present[n]) for n in bad}, {s.name: s.type for s in specs}, max_issues + 1)
     if bad and on_mismatch == "fail":
-        raise ImportFailed(f"{issues[0][0]}: {issues[0][1]!r} doesn't fit")
+        raise ImportFailed(f"{issues[0].column}: {issues[0].message}: {issues[0].raw!r}")
     widened: dict[str, ColumnType] = {}
+    given = {s.name: s for s in specs}
     if on_mismatch == "widen":
         for k, s in enumerate(specs):
             if s.name in bad:
                 widened[s.name] = _widened(raw, place[s.name], s)
                 specs[k] = s.copy_with(type=widened[s.name], format=None if widened[s.name] is not s.type else s.format)
-    values = [of(s).cast(s.type.spark).alias(s.name) for s in specs]
+    told = lambda s: F.coalesce(_told(of(given[s.name])), of(s)) if widened.get(s.name) is ColumnType.TEXT else of(s)
+    values = [told(s).cast(s.type.spark).alias(s.name) for s in specs]
     facts = FactTable.of(raw.select(*values), {s.name: s.label for s in specs if s.label})
     nullified = bad if on_mismatch == "nullify" else {}
     return facts, ImportReport(counts["rows"], nullified, widened, tuple(issues[:max_issues]), len(issues) > max_issues)
 
 
-def _issues(raw: DataFrame, of: dict[str, tuple[Column, Column]], limit: int) -> list[tuple[str, str]]:
+def _told(value: Column) -> Column:
+    """A typed value's own text, told by its type where the plan is analysed."""
+    kind = F.typeof(value)
+    moment = value.cast("string").try_cast("timestamp_ntz")
+    dated = F.when(is_midnight(moment), F.date_format(moment, "yyyy-MM-dd")).otherwise(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    number = value.cast("string").try_cast("double")
+    return (
+        F.when(kind.isin("date", "timestamp_ntz"), dated)
+        .when(kind == "double", F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("bigint").cast("string")).otherwise(F.lower(number.cast("string"))))
+        .otherwise(value.cast("string"))
+    )
+
+
+def _issues(raw: DataFrame, of: dict[str, tuple[Column, Column]], types: dict[str, ColumnType], limit: int) -> list[ImportIssue]:
     if not of:
         return []
     cells = F.array(*(F.when(bad, F.struct(F.lit(n).alias("column"), text.alias("raw"))) for n, (bad, text) in of.items()))
-    rows: list[Row] = raw.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*").limit(limit).collect()
-    return [(r["column"], r["raw"]) for r in rows]
+    found = raw.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
+    rows: list[Row] = found.orderBy("column", "raw").limit(limit).collect()
+    return [ImportIssue(r["column"], r["raw"], f"not of type {types[r['column']].value}") for r in rows]
 
 
 def _widened(raw: DataFrame, k: int, spec: ColumnSpec) -> ColumnType:

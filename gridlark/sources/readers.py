@@ -140,6 +140,8 @@ class JsonOptions:
     flatten: bool = True
     separator: str = "."
     columns: tuple[str, ...] | None = None
+    #: JSON lines: the columns of every record, not of the first alone.
+    scan_all_rows: bool = False
 
 
 def _quoted(path: list[str]) -> str:
@@ -184,10 +186,32 @@ def read_json(spark: SparkSession, path: str, options: JsonOptions = JsonOptions
 
 
 def read_jsonl(spark: SparkSession, path: str, options: JsonOptions = JsonOptions()) -> DataFrame:
-    """One object a line; blank lines are skipped; columns are those of all records, the first record's first."""
+    """One object a line; blank lines are skipped.
+
+    Columns are those that the first record names, or, with scan_all_rows,
+    those of all records, the first record's first.
+    """
     df = spark.read.option("mode", "FAILFAST").json(path)
-    first = spark.read.text(path).where(F.trim("value") != "").limit(20).collect()
-    return flattened(df.select(*_in_order(df, [json.loads(r[0]) for r in first])), options)
+    lines = spark.read.text(path).where(F.trim("value") != "").limit(20 if options.scan_all_rows else 1).collect()
+    head = [json.loads(r[0]) for r in lines]
+    if not all(isinstance(r, dict) for r in head):
+        raise ValueError("expected an object on each line")
+    ordered = df.select(*_in_order(df, head))
+    if options.scan_all_rows or options.columns is not None or not head:
+        return flattened(ordered, options)
+    found = flattened(ordered, options)
+    return found.select(*(F.col(_quoted([c])) for c in found.columns if _names(head[0], c.split(options.separator) if options.flatten else [c])))
+
+
+def _names(record: object, path: list[str]) -> bool:
+    """Whether a record has a value, or a null, at the path or on the way to it."""
+    for name in path:
+        if record is None:
+            return True
+        if not isinstance(record, dict) or name not in record:
+            return False
+        record = record[name]
+    return True
 
 
 def _head_objects(text: str) -> list[dict]:

@@ -22,12 +22,10 @@ def start_cube(
     """Calls on_update(table, batch) with the cube of everything seen whenever new facts have come.
 
     The stream keeps one row of partial states for each finest group, which
-    merge exactly as in a batch cube; aggregates that can't merge are refused.
+    merge exactly as in a batch cube.
     """
     cube = Cube(FactTable.of(stream), spec, rows, columns)
-    finest, _, mergeable = cube._finest
-    if not mergeable:
-        raise ValueError("standard deviations and variances can't be kept over a stream")
+    finest = cube.groups(cube._distinct)
 
     def batch(groups: DataFrame, number: int) -> None:
         on_update(cube.over_groups(groups), number)

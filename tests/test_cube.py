@@ -12,7 +12,7 @@ from gridlark.operators.dimensions import ColumnDimension, DatePartDimension, Ex
 from gridlark.operators.facts import FactTable
 from gridlark.operators.filters import AndFilter, CompareFilter, EmptyFilter, ExpressionFilter, NotFilter, OrFilter, PredicateFilter, RangeFilter, TextFilter, ValueFilter
 from gridlark.plans import AxisDimension, AxisSort, Cube, CubeAxis, CubeSpec, Expansion
-from gridlark.plans.charts import chart_from_cell, chart_from_cube, chart_from_facts, scatter_from_facts, transposed, with_period_start, without_empty
+from gridlark.plans.charts import chart_from_cell, chart_from_cube, chart_from_facts, scatter_from_cell, scatter_from_cube, scatter_from_facts, transposed, with_period_start, without_empty
 
 REGION, COUNTRY, CATEGORY = ColumnDimension("region"), ColumnDimension("country"), ColumnDimension("category")
 QTY = sum_of("qty")
@@ -369,3 +369,78 @@ def test_configurations_come_back(f1):
             codec.to_cube(bad, f1)
     with pytest.raises(TypeError):
         codec.filter(PredicateFilter(lambda r: True, ("qty",)))
+
+
+def test_looking_up_entries_and_cells(f1):
+    spec = CubeSpec(CubeAxis.of(REGION, COUNTRY), CubeAxis.of(CATEGORY), (QTY,))
+    cube = Cube(f1, spec, Expansion.of([(E,)]))
+    # (empty), Asia, Europe, -, Germany, Hungary, total
+    assert [cube.index_of("rows", p) for p in ((), (None,), (E,), (E, "Hungary"), ("Asia", "Japan"), ("Mars",))] == [6, 0, 2, 5, -1, -1]
+    assert cube.entry_for("rows", (E,))["facts"] == 4 and cube.entry_for("rows", ("Asia", "Japan")) is None
+    assert cube.cell_at(2, 1)[QTY.id] == 8 and cube.cell_for((E, "Germany"), ("B",))[QTY.id] == 2
+    assert cube.cell_for((E,), ("C",)) is None and cube.cell_at(0, 99) is None
+    assert {r["pos"]: r["descendants"] for r in cube.descendant_counts("rows").collect()} == {0: 0, 1: 0, 2: 3, 3: 0, 4: 0, 5: 0, 6: 0}
+    hidden = Cube(f1, spec.copy_with(rows=CubeAxis.of(REGION, COUNTRY, subtotals="hidden")), Expansion.of([(E,)]))
+    assert hidden.index_of("rows", (E,)) == -1 and hidden.entry_for("rows", (E,))["facts"] == 4
+
+
+def test_header_areas(f1):
+    cube = Cube(f1, CubeSpec(CubeAxis.of(REGION, COUNTRY), aggregates=(QTY,)), Expansion.of([(E,)]))
+    areas = {(r["level"], r["pos"]): tuple(r)[2:] for r in cube.header_areas("rows").collect()}
+    # depth, entry, level_start, level_span, entry_start, entry_span, is_label
+    assert areas[0, 1] == areas[1, 1] == (1, 1, 0, 2, 1, 1, True)  # a closed group goes down to the last level
+    assert areas[0, 2] == areas[0, 4] == areas[0, 5] == (1, 2, 0, 1, 2, 4, True)
+    assert areas[1, 2] == (1, 2, 1, 1, 2, 1, False)  # the leg beside the open group's own row
+    assert areas[1, 4] == (2, 4, 1, 1, 4, 1, True)
+    assert areas[0, 6] == areas[1, 6] == (0, 6, 0, 2, 6, 1, True)
+    bare = Cube(f1, CubeSpec(CubeAxis.of(REGION, COUNTRY, subtotals="hidden"), aggregates=(QTY,)), Expansion.of([(E,)]))
+    areas = {(r["level"], r["pos"]): tuple(r)[2:] for r in bare.header_areas("rows").collect()}
+    assert areas[0, 3] == (1, -1, 0, 1, 2, 3, True)
+
+
+def test_levels_open_and_close(f1):
+    spec = CubeSpec(CubeAxis.of(REGION, COUNTRY), CubeAxis.of(CATEGORY), (QTY,))
+    cube = Cube(f1, spec, Expansion.of([(E,)]))
+    opened = cube.expand_level("rows", 0)
+    assert labels(opened.row_entries) == labels(cube.expand_to_depth(rows=2).row_entries)
+    assert cube.added_by_expanding_level("rows", 0) == 3 and opened.added_by_expanding_level("rows", 0) == 0
+    assert labels(opened.collapse_level("rows", 0).row_entries) == [None, "Asia", E, "Σ"]
+    mixed = Expansion.of([(E, "Germany")]).expand_level(0)
+    assert mixed.is_open(()) and mixed.is_open((E,)) and mixed.is_open((E, "Germany")) and not mixed.is_open(("Asia",))
+
+
+def test_prepared_cubes(f1):
+    aggregates = (QTY, COUNT, distinct_count(CATEGORY), distinct_count("qty"), std_dev("price"), average_of("price"))
+    spec = CubeSpec(CubeAxis.of(REGION, COUNTRY), CubeAxis.of(DatePartDimension("date", "year")), aggregates)
+    cube = Cube(f1, spec)
+    ready = cube.prepared()
+    for step in (lambda c: c, lambda c: c.toggle_row((E,)), lambda c: c.expand_to_depth(rows=2, columns=1)):
+        rows = lambda c: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in step(c).table().collect())  # noqa: E731, B023
+        assert rows(ready) == rows(cube)
+    assert "csv" not in ready.table()._jdf.queryExecution().toString() and ready.child_counts().count() == cube.child_counts().count()
+
+
+def test_moments_and_distinct_counts_at_every_level(spark):
+    rows = [(k % 3, k % 2, 1e9 + k * 0.25 if k % 11 else None, k % 5, k % 7) for k in range(400)]
+    f = FactTable.of(spark.createDataFrame(rows, "a int, b int, x double, y int, z int"))
+    spread, both = variance("x"), (distinct_count("y"), distinct_count("z"))
+    cube = Cube(f, CubeSpec(CubeAxis.of(ColumnDimension("a")), CubeAxis.of(ColumnDimension("b")), (spread, *both)))
+    for r in cube.table().collect():
+        kept = [x for x in rows if r["a"] in (None, x[0]) and r["b"] in (None, x[1])]
+        values = [x[2] for x in kept if x[2] is not None]
+        mean = sum(v - 1e9 for v in values) / len(values)
+        assert r[spread.id] == pytest.approx(sum((v - 1e9 - mean) ** 2 for v in values) / (len(values) - 1), rel=1e-7)
+        assert [r[d.id] for d in both] == [len({x[3] for x in kept}), len({x[4] for x in kept})]
+
+
+def test_charts_of_paths_and_scatters(f1):
+    cube = Cube(f1, CubeSpec(CubeAxis.of(REGION, COUNTRY), CubeAxis.of(CATEGORY), (QTY, COUNT)), Expansion.of([(E,)]))
+    chart = chart_from_cube(cube, QTY, [(E, "Hungary"), ("Mars",), ("Asia",)], [()])
+    assert [(r["category_pos"], r["category"], r["value"]) for r in chart.orderBy("category_pos").collect()] == [(0, [E, "Hungary"], 3), (2, ["Asia"], 11)]
+    points = scatter_from_cube(cube, QTY, COUNT).where("facts > 0").collect()
+    assert {(tuple(r["point"]), tuple(r["series"]), r["x"], r["y"]) for r in points if r["point"] == ["Asia"]} == {(("Asia",), (None,), 6.0, 1.0), (("Asia",), ("B",), 5.0, 1.0)}
+    turned = scatter_from_cube(cube, QTY, COUNT, transpose=True)
+    assert turned.count() == len(points)
+    assert {(r["point"], r["x"]) for r in scatter_from_cell(cube, COUNTRY, QTY, COUNT, (E,)).collect()} == {(None, 4.0), ("Germany", 3.0), ("Hungary", 3.0)}
+    lone = Cube(f1, CubeSpec(aggregates=(QTY,)))
+    assert [r["value"] for r in chart_from_cube(lone, QTY).collect()] == [28]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from gridlark.operators.aggregates import COUNT, average_of, distinct_count, sum_of
+from gridlark.operators.aggregates import COUNT, average_of, distinct_count, std_dev, sum_of
 from gridlark.operators.dimensions import ColumnDimension
 from gridlark.operators.facts import FactTable
 from gridlark.plans import Cube, CubeAxis, CubeSpec
@@ -29,3 +29,15 @@ def test_distinct_counts_over_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(source.schema).parquet(path)
     start_cube(stream, spec, lambda table, n: seen.append({r["k"]: r["distinct(v)"] for r in table.collect()}), str(tmp_path / "state"), available_now=True).awaitTermination(120)
     assert seen[-1] == {0: 7, 1: 7, 2: 7, None: 7}
+
+
+def test_spread_over_a_stream(spark, tmp_path):
+    source = spark.range(300).select((F.col("id") % 3).alias("k"), (F.col("id") % 17 + 1e6).alias("v"), (F.col("id") % 5).alias("w"))
+    path = str(tmp_path / "in")
+    source.repartition(3).write.parquet(path)
+    spec = CubeSpec(CubeAxis.of(ColumnDimension("k")), aggregates=(std_dev("v"), distinct_count("v"), distinct_count("w")))
+    seen = []
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rounded = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    start_cube(stream, spec, lambda table, n: seen.append(rounded(table)), str(tmp_path / "state"), available_now=True).awaitTermination(120)
+    assert seen[-1] == rounded(Cube(FactTable.of(source), spec).table())
