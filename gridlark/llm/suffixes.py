@@ -64,7 +64,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of a slab's places; grams are ordered by the rest of their hash, the same rest in every slab.
 _PLACE = 24
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
-_RUN = [(n, T.LongType()) for n in ("gram", "run", "place", "a", "b")]
+_RUN = ["gram", "run", "place"]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +155,11 @@ def _pack(first: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndar
     return first << 16 | windows << 8 | anchor
 
 
+def _text(rows: DataFrame) -> list[T.StructField]:
+    """What a text is known by: its row's id, and a hash, as ids may repeat or be null."""
+    return [rows.schema["id"], rows.schema["a"]]
+
+
 def _key(df: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
     """id, a, b (the text's hashes), text (never null), kept."""
     kept = F.struct(*keep) if keep else F.lit(None).cast("boolean")
@@ -163,16 +168,17 @@ def _key(df: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
 
 
 def _joined(rows: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
-    """rows with column of other (a, b, column), whose pairs (a, b) are unique; Spark splits the rows of a text that very many have."""
-    return rows.join(other, ["a", "b"], how).select(*rows.columns, column)
+    """rows with column of other (id, a, column), whose pairs (id, a) are unique; a null id equals a null id."""
+    other = other.withColumnsRenamed({"id": "_id", "a": "_a"})
+    return rows.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("a") == F.col("_a")), how).select(*rows.columns, column)
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches (a, b, ...) without most rows whose text the task met before; SEEN texts are remembered at a time."""
+    """The batches (id, a, b, ...) without most rows whose text the task met before; SEEN texts are remembered at a time."""
     seen: set[int] = set()
     for batch in batches:
         stay = []
-        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        for k, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             if (pair := a << 64 | b & (1 << 64) - 1) not in seen:
                 seen.add(pair)
                 stay.append(k)
@@ -183,12 +189,12 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, run, place, a, b) of every run; a task gives those of a text once."""
+    """(gram, run, place, id, a) of every run; a task gives those of a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
         for batch in _firsts(batches):
-            data, begin, end = _bytes_of(batch.column(2))
+            data, begin, end = _bytes_of(batch.column(3))
             view = memoryview(np.ascontiguousarray(data))
             row, first, windows, anchor, grams = anchors.runs(data, begin, end)
             at = begin[row] + first
@@ -196,9 +202,10 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
             ids = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + windows + length - 1).tolist(), strict=True)), np.uint64, len(at))
             take = pa.array(row)
             columns = [pa.array(grams.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(_pack(first, windows, anchor))]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take), batch.column(1).take(take)], [n for n, _ in _RUN])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take), batch.column(1).take(take)], [*_RUN, "id", "a"])
 
-    return rows.select("a", "b", "text").where(F.octet_length("text") >= length).mapInArrow(tidy(run), T.StructType([T.StructField(n, t) for n, t in _RUN]))
+    long_ = rows.select("id", "a", "b", "text").where(F.octet_length("text") >= length)
+    return long_.mapInArrow(tidy(run), T.StructType([*(T.StructField(n, T.LongType()) for n in _RUN), *_text(rows)]))
 
 
 _SENT = [
@@ -211,12 +218,11 @@ _SENT = [
     ("anchor", T.LongType()),
     ("bytes", T.BinaryType()),
 ]
-_TEXT = [T.StructField(n, T.LongType()) for n in ("a", "b")]
 _PART = [T.StructField(n, T.LongType()) for n in ("start", "end")]
 
 
 def _sent(lists: DataFrame, length: int) -> DataFrame:
-    """Rows of _SENT with a and b, from (a, b, text, runs)."""
+    """Rows of _SENT with id and a, from (id, a, b, text, runs)."""
     names = [n for n, _ in _SENT]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -226,8 +232,8 @@ def _sent(lists: DataFrame, length: int) -> DataFrame:
             of: list[int] = []
             crowded: dict[int, list[tuple[int, int]]] = {}
             for k in range(batch.num_rows):
-                text = batch.column(2)[k].as_py().encode()
-                for r in batch.column(3)[k].as_py():
+                text = batch.column(3)[k].as_py().encode()
+                for r in batch.column(4)[k].as_py():
                     first, windows, anchor = r["place"] >> 16, r["place"] >> 8 & 255, r["place"] & 255
                     if not r["crowded"]:
                         rows.append((r["gram"], 0, 0, first, windows, anchor, text[first : first + windows + length - 1]))
@@ -237,16 +243,16 @@ def _sent(lists: DataFrame, length: int) -> DataFrame:
                         crowded.setdefault(xxhash.xxh3_128_intdigest(text[p : p + length]), []).append((k, p))
             for h, at in crowded.items():
                 for k, p in at if len(at) > 1 else ():  # settled; a key of its own for each row
-                    rows.append((signed(xxhash.xxh3_64_intdigest(struct.pack("<qqq", batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), p))), 0, 2, p, 1, 0, None))
+                    rows.append((signed(xxhash.xxh3_64_intdigest(struct.pack("<qqq", batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), p))), 0, 2, p, 1, 0, None))
                     of.append(k)
                 rows.append((signed(h >> 64), signed(h & (1 << 64) - 1), 1, at[0][1], 1, 0, None))  # windows in other batches may equal it
                 of.append(at[0][0])
             made = [pa.array(x, pa.binary() if n == "bytes" else pa.int32() if n == "kind" else pa.int64()) for n, x in zip(names, zip(*rows, strict=True), strict=True)] if rows else None
             if made:
                 take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([*made, batch.column(0).take(take), batch.column(1).take(take)], [*names, "a", "b"])
+                yield pa.RecordBatch.from_arrays([*made, batch.column(0).take(take), batch.column(1).take(take)], [*names, "id", "a"])
 
-    return lists.select("a", "b", "text", "runs").mapInArrow(tidy(run), T.StructType([*(T.StructField(n, t) for n, t in _SENT), *_TEXT]))
+    return lists.select("id", "a", "b", "text", "runs").mapInArrow(tidy(run), T.StructType([*(T.StructField(n, t) for n, t in _SENT), *_text(lists)]))
 
 
 def repeated_windows(group: np.ndarray, pieces: list[bytes], windows: np.ndarray, anchor: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -315,8 +321,8 @@ def _sort(length: int):
         def out(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
             names = batch.schema.names
             take = pa.array(row)
-            own = [batch.column(names.index(n)).take(take) for n in ("a", "b")]
-            return pa.RecordBatch.from_arrays([*own, pa.array(start), pa.array(end)], ["a", "b", "start", "end"])
+            own = [batch.column(names.index(n)).take(take) for n in ("id", "a")]
+            return pa.RecordBatch.from_arrays([*own, pa.array(start), pa.array(end)], ["id", "a", "start", "end"])
 
         held: pa.Table | None = None  # the last key's rows, as the next batch may go on with it
         for batch in batches:
@@ -362,34 +368,34 @@ def _spread_join(runs: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame
     A hot key is dealt to SALTS tasks, each of which gets its row of sums; as
     sums are shuffled anew for that, Spark can split what is still uneven.
     """
-    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("a", "b", "place"), F.lit(SALTS)).cast("int"))
+    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("a", "place"), F.lit(SALTS)).cast("int"))
     every = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(every, [*keys, "_salt"]).drop("_salt")
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, gather: int = GATHER) -> DataFrame:
-    """(a, b, start, end): byte ranges, overlaps and repeats allowed, whose union is what repeated windows cover.
+    """(id, a, start, end): byte ranges, overlaps and repeats allowed, whose union is what repeated windows cover.
 
     rows: as _key gives them.
     """
-    size = F.octet_length("text").cast("long")
-    copied = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("end")).where((F.col("n") > 1) & (F.col("end") >= length))
-    copied = copied.select("a", "b", F.lit(0).cast("long").alias("start"), "end")
+    light = rows.select("id", "a", "b", F.octet_length("text").cast("long").alias("end")).where(F.col("end") >= length)
+    copied = light.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    copied = light.join(copied, ["a", "b"]).select("id", "a", F.lit(0).cast("long").alias("start"), "end").distinct()
     runs = _runs(rows, length, gram)
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     shared = stored(_spread_join(runs, grams, ["gram"]))
     # A text's place can be there from each task that met the text, so places are counted by what they are.
-    one = F.struct("a", "b", "place")
-    kinds = shared.groupBy("gram", "run").agg(F.min(one).alias("one"), (F.min(one) != F.max(one)).alias("twice"))
+    one = F.struct("id", "a", "place")
+    kinds = shared.groupBy("gram", "run").agg(F.min(one).alias("one"), (~F.min(one).eqNullSafe(F.max(one))).alias("twice"))
     whole = _spread_join(shared, kinds.where("twice").select("gram", "run"), ["gram", "run"])
     first = F.shiftright("place", 16)
-    ranges = whole.select("a", "b", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("end"))
+    ranges = whole.select("id", "a", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("end"))
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    edges = kinds.join(several, "gram").select("one.a", "one.b", F.struct("gram", "one.place", (F.col("kinds") > gather).alias("crowded")).alias("r"))
-    lists = edges.groupBy("a", "b").agg(F.collect_list("r").alias("runs"))
+    edges = kinds.join(several, "gram").select("one.id", "one.a", F.struct("gram", "one.place", (F.col("kinds") > gather).alias("crowded")).alias("r"))
+    lists = edges.groupBy("id", "a").agg(F.collect_list("r").alias("runs"))
     sent = _sent(_joined(rows, lists, "runs", "inner"), length)
     dealt = sent.repartition("key1", "key2").sortWithinPartitions("key1", "key2", "kind")
-    more = dealt.mapInArrow(tidy(_sort(length)), T.StructType([*_TEXT, *_PART]))
+    more = dealt.mapInArrow(tidy(_sort(length)), T.StructType([*_text(rows), *_PART]))
     return ranges.unionByName(more).unionByName(copied)
 
 
@@ -420,7 +426,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     their texts.
     """
     rows = _key(df, id, text, keep or [])
-    ranges = repeated_ranges(rows, length, gram, gather).groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges = repeated_ranges(rows, length, gram, gather).groupBy("id", "a").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     numbers = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     out = T.StructType([rows.schema["id"], rows.schema["kept"], *numbers, T.StructField("remaining", T.StringType() if as_text else T.BinaryType())])
 
