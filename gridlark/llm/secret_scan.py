@@ -3,14 +3,14 @@
 All of it is DataFrame functions; no Python runs on the executors, nothing is
 shuffled.  A run of characters of one class is read with a window of fixed
 width.  Its entropy is log2(width) - sum(c * log2(c)) / width over the counts c
-of its characters; the sum is kept up to date from the counts of the character
-that enters and of the one that leaves, in whole millionths, so that it never
-drifts.  A run whose highest window reaches the class's bits is a finding, from
+of its characters.  The counts stand in a string with a place for each
+character; as the window moves, that of the character that leaves falls by one,
+that of the one that enters rises, and the sum changes by their two terms, in
+whole millionths, so that it never drifts.  A run whose highest window reaches the class's bits is a finding, from
 the first such window's start to the last one's end, unless an allow-list
 pattern clears the whole run.
 
-Work is linear in the text, but for the list of findings, which is copied as it
-grows; each finding of the base kinds is 12 characters at least.
+Work is linear in the text; findings are listed in blocks (see spans).
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ CLASSES = (
 )
 #: A run that one of these finds is no secret.
 ALLOW = (
-    r"^[A-Za-z/+_-]+$",  # words and paths without a digit
+    # Words, in one case or with capitals at their starts, and paths of them: letters in random cases are not cleared.
+    r"^(?:[A-Z]?[a-z]+|[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})+)(?:[/+_-]+(?:[A-Z]?[a-z]+|[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})+))*[/+_-]*$",
     r"^[0-9/+_-]+$",  # numbers and dates
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # identifiers
     r"(?i)example|placeholder|dummy|changeme|x{6}|0{8}|deadbeef|0123456789abcdef|abcdefghijklmnop",
@@ -65,40 +66,49 @@ def _sums(width: int) -> Column:
     return F.array(*(F.lit(round(c * math.log2(c) * 1e6) if c else 0) for c in range(width + 2)))
 
 
+#: A window's counts: a character for each of U+0020 to U+007F, that of a count of 0 being "0".
+_NO_COUNTS = "0" * 96
+
+
 def hot_range(run: Column, width: int, bits: float) -> Column:
-    """(first, last) place covered by windows of run that reach bits, last exclusive; nulls if none does."""
+    """(first, last) place covered by windows of run that reach bits, last exclusive; nulls if none does.
+
+    run is of printable ASCII; width is 70 at most.
+    """
     most = math.floor((math.log2(width) - bits) * width * 1e6)
     table = _sums(width)
-    zero = F.struct(
-        F.lit("").alias("window"), F.lit(0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
-    )
-
-    def count(where: Column, char: Column) -> Column:
-        return F.length(where) - F.length(F.replace(where, char, F.lit("")))
+    none = F.lit(None).cast("int")
+    zero = F.struct(F.lit("").alias("window"), F.lit(_NO_COUNTS).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("at"), none.alias("first"), none.alias("last"))
+    place = lambda char: F.ascii(char) - 31
+    count = lambda counts, char: F.ascii(F.substring(counts, place(char), F.lit(1))) - 48
+    changed = lambda counts, char, n: F.overlay(counts, F.chr(n + 48), place(char), F.lit(1))
 
     def add(acc: Column, char: Column) -> Column:
         full = F.length(acc["window"]) == width
         gone = F.substring(acc["window"], 1, 1)
 
+        def leave(n: Column) -> Column:
+            return F.struct(changed(acc["counts"], gone, n - 1).alias("counts"), (acc["sum"] - F.get(table, n) + F.get(table, n - 1)).alias("sum"))
+
         def enter(rest: Column) -> Column:
-            there = count(acc["window"], gone)
-            left = F.when(full, F.get(table, there) - F.get(table, there - 1)).otherwise(F.lit(0))
-            here = count(rest, char)
-            total = acc["sum"] - left + F.get(table, here + 1) - F.get(table, here)
-            return F.struct(F.concat(rest, char).alias("window"), total.alias("sum"))
+            made = lambda n: F.struct(changed(rest["counts"], char, n + 1).alias("counts"), (rest["sum"] - F.get(table, n) + F.get(table, n + 1)).alias("sum"))
+            return let(count(rest["counts"], char), made)
 
         def close(new: Column) -> Column:
             end = acc["at"] + 1
-            hot = (F.length(new["window"]) == width) & (new["sum"] <= most)
+            window = F.concat(F.when(full, F.substring(acc["window"], 2, width)).otherwise(acc["window"]), char)
+            hot = (end >= width) & (new["sum"] <= most)
             return F.struct(
-                new["window"],
+                window.alias("window"),
+                new["counts"],
                 new["sum"],
                 end.alias("at"),
                 F.coalesce(acc["first"], F.when(hot, end - width)).alias("first"),
                 F.when(hot, end).otherwise(acc["last"]).alias("last"),
             )
 
-        return let(let(F.when(full, F.substring(acc["window"], 2, width)).otherwise(acc["window"]), enter), close)
+        rest = F.when(full, let(count(acc["counts"], gone), leave)).otherwise(F.struct(acc["counts"], acc["sum"]))
+        return let(let(rest, enter), close)
 
     return F.aggregate(F.split(run, ""), zero, add, lambda acc: F.struct(acc["first"], acc["last"]))
 
