@@ -168,7 +168,10 @@ def _key(df: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
 
 
 def _joined(rows: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
-    """rows with column of other (id, a, column), whose pairs (id, a) are unique; a null id equals a null id."""
+    """rows with column of other (id, a, column), whose pairs (id, a) are unique; a null id equals a null id.
+
+    All columns of rows are read by whoever asks, so that one shuffle of the texts serves every join.
+    """
     other = other.withColumnsRenamed({"id": "_id", "a": "_a"})
     return rows.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("a") == F.col("_a")), how).select(*rows.columns, column)
 
@@ -222,7 +225,7 @@ _PART = [T.StructField(n, T.LongType()) for n in ("start", "end")]
 
 
 def _sent(lists: DataFrame, length: int) -> DataFrame:
-    """Rows of _SENT with id and a, from (id, a, b, text, runs)."""
+    """Rows of _SENT with id and a, from (id, a, b, text, kept, runs)."""
     names = [n for n, _ in _SENT]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -233,7 +236,7 @@ def _sent(lists: DataFrame, length: int) -> DataFrame:
             crowded: dict[int, list[tuple[int, int]]] = {}
             for k in range(batch.num_rows):
                 text = batch.column(3)[k].as_py().encode()
-                for r in batch.column(4)[k].as_py():
+                for r in batch.column(5)[k].as_py():
                     first, windows, anchor = r["place"] >> 16, r["place"] >> 8 & 255, r["place"] & 255
                     if not r["crowded"]:
                         rows.append((r["gram"], 0, 0, first, windows, anchor, text[first : first + windows + length - 1]))
@@ -252,7 +255,7 @@ def _sent(lists: DataFrame, length: int) -> DataFrame:
                 take = pa.array(of)
                 yield pa.RecordBatch.from_arrays([*made, batch.column(0).take(take), batch.column(1).take(take)], [*names, "id", "a"])
 
-    return lists.select("id", "a", "b", "text", "runs").mapInArrow(tidy(run), T.StructType([*(T.StructField(n, t) for n, t in _SENT), *_text(lists)]))
+    return lists.mapInArrow(tidy(run), T.StructType([*(T.StructField(n, t) for n, t in _SENT), *_text(lists)]))
 
 
 def repeated_windows(group: np.ndarray, pieces: list[bytes], windows: np.ndarray, anchor: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -433,14 +436,14 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             made = []
-            for t, found in zip(batch.column(1), batch.column(3), strict=True):
+            for t, found in zip(batch.column(3), batch.column(5), strict=True):
                 body = t.as_py().encode()
                 made.append((len(body), *_remove(body, [(r["start"], r["end"]) for r in found.as_py() or ()])))
             n, left, removed, spans = zip(*made, strict=True) if made else ((), (), (), ())
             rest = pa.array([x.decode(errors="ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
             columns = [*(pa.array(x, pa.int64()) for x in (n, removed, spans)), rest]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], out.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *columns], out.names)
 
-    found = _joined(rows, ranges, "ranges", "left").select("id", "text", "kept", "ranges").mapInArrow(tidy(run), out)
+    found = _joined(rows, ranges, "ranges", "left").mapInArrow(tidy(run), out)
     extra = ["kept.*"] if keep else []
     return found.select(F.col("id").alias(id), "n_bytes", "n_removed", "n_spans", "remaining", *extra)
