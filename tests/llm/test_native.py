@@ -117,6 +117,9 @@ LICENSES = [
     "SPDX-License-Identifier: GPL-3.0-only",
     "mit licensé aMIT License mit  \n license ＭＩＴ license İmit license",
     "All Rights Reserved. This is in the public domain. Unlicense!",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and more, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+    "Neither the name of the A B Company nor the names of its contributors may be used to endorse or promote products. See the BSD 3-clause license or later; GPLv2, LGPL 2.1 or any later version",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
     "mit license " * 3000,
 ]
 
@@ -131,7 +134,7 @@ def test_license_base(spark):
 
 
 def test_license_detections_equal_brute_force(spark):
-    texts = LICENSES[:6]
+    texts = LICENSES[:-1]
     rows = license_scan(frame(spark, texts)).orderBy("doc_id").collect()
     assert len(rules()) > 300
     for text, r in zip(texts, rows, strict=True):
