@@ -38,7 +38,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME_PART = re.compile(r"[a-z0-9]+")
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 # HTML's element kinds, and names by which page furniture is known.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +55,13 @@ _DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login".split()
 )
+#: What such a name may be joined to and still tell of nothing else: ad-box, comments_list, but not share-price.
+_FILLERS = frozenset(
+    "box bar block wrapper wrap container section list area slot unit panel links link buttons button btn group inner outer top bottom left right site page global "
+    "content posts articles stories news items item icons media module zone message toggle title heading".split()
+)
+_HEADER = frozenset(["header"])
+_COMMENT_NAMES = frozenset("comment comments reply replies respond".split())
 #: Names that layout wrappers round the article bear, too: a main or article element inside them is read all the same.
 _LAYOUT_NAMES = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager widget footer masthead toolbar search banner skip".split())
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr figcaption".split())
@@ -71,45 +78,59 @@ class _Element:
         self.holds = False
 
 
+def _means(token: str, names: frozenset[str]) -> bool:
+    """Whether a class or id is made of such names, with fillers and numbers at most."""
+    parts = [x.lower() for x in _NAME_PART.findall(token)]
+    return any(x in names for x in parts) and all(x in names or x in _FILLERS or x.isdigit() for x in parts)
+
+
 def _fate(tag: str, attributes: str, article: bool) -> int:
     """What an element's tag and attributes say about it."""
     if tag in _DROPPED or (tag == "header" and not article):
         return _DROP
     if not attributes or tag in ("html", "body"):
         return _KEEP
-    names: set[str] = set()
+    tokens: list[str] = []
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
-        value = (m[2] or m[3] or m[4] or "").lower()
+        value = m[2] or m[3] or m[4] or ""
+        low = value.lower()
         if key in ("class", "id"):
-            names.update(_NAME_PART.findall(value))
-        elif key == "role" and value in _DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+            tokens += value.split()
+        elif key == "role" and low in _DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and low == "true":
             return _DROP
-        elif key == "style" and "display:none" in value.replace(" ", ""):
+        elif key == "style" and "display:none" in low.replace(" ", ""):
             return _DROP
-    if names & _DROPPED_NAMES:
+    if not tokens:
+        return _KEEP
+    if tag in ("article", "main"):  # a comment may be an article; nothing else takes one away
+        return _DROP if tag == "article" and any(_means(t, _COMMENT_NAMES) for t in tokens) else _KEEP
+    if any(_means(t, _DROPPED_NAMES) for t in tokens):
         return _DROP
-    if names & _LAYOUT_NAMES or ("header" in names and not article and tag not in ("main", "article")):
-        return _KEEP if tag in ("main", "article") else _LAYOUT
+    if any(_means(t, _LAYOUT_NAMES | _DROPPED_NAMES) or (not article and _means(t, _HEADER)) for t in tokens):
+        return _LAYOUT
     return _KEEP
 
 
 class Page:
     """One reading of a page: its text blocks and the hashes of its block elements.
 
-    template: hashes of subtrees to delete.
+    template: hashes of subtrees to delete.  wrappers: whether layout names take
+    away what no article or main element holds.
     """
 
-    def __init__(self, source: str, template: frozenset[int] = frozenset()):
-        self.template = template
+    def __init__(self, source: str, template: frozenset[int] = frozenset(), wrappers: bool = True):
+        self.template, self.wrappers = template, wrappers
         #: Hashes of the block elements; text blocks within an article or main, and what holds them, left out.
         self.hashes: set[int] = set()
-        #: (rank, element path end, text): rank 2 in an article, 1 in main, 0 elsewhere.
+        #: (rank, text): rank 3 in an article of main, 2 in another article, 1 in main, 0 elsewhere.
         self.blocks: list[tuple[int, str]] = []
         self._pending: list[str] = []
         self._stack: list[_Element] = [_Element("", _KEEP, _KEEP, False, False, "")]
         self._rank = 0
         self._ranks: list[int] = []
+        #: Whether layout names were met.
+        self.wrapped = False
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -166,13 +187,16 @@ class Page:
             return
         parent = stack[-1]
         own = _fate(tag, attributes, parent.article)
+        if own == _LAYOUT:
+            self.wrapped = True
+            own = _LAYOUT if self.wrappers else _KEEP
         fate = max(own, parent.fate)
         if fate == _LAYOUT and own == _KEEP and tag in ("main", "article"):
             fate = _KEEP
         stack.append(_Element(tag, len(self.blocks), fate, parent.article or tag == "article", parent.inside or tag in ("article", "main"), f"<{tag}{attributes}>"))
         if tag in ("article", "main"):
             self._ranks.append(self._rank)
-            self._rank = max(self._rank, 2 if tag == "article" else 1)
+            self._rank = self._rank | (2 if tag == "article" else 1)
 
     def _close_before(self, tag: str) -> None:
         """What a block's start tag closes without an end tag."""
@@ -217,9 +241,26 @@ class Page:
                 del self.blocks[e.own :]
 
     def text(self) -> str:
-        """The article's blocks if there are any, else main's, else all, joined by newlines."""
-        best = max((r for r, _ in self.blocks), default=0)
-        return "\n".join(t for r, t in self.blocks if r == best)
+        """The article's blocks if there are any, else main's, else all, joined by newlines.
+
+        An article that holds less of main's text than the rest does is a
+        teaser: then main is the text.
+        """
+        size = [sum(len(t) for r, t in self.blocks if r == rank) for rank in range(4)]
+        if size[2] + size[3] and size[1] <= size[2] + size[3]:
+            chosen = [t for r, t in self.blocks if r & 2]
+        elif size[1]:
+            chosen = [t for r, t in self.blocks if r & 1]
+        else:
+            chosen = [t for _, t in self.blocks]
+        return "\n".join(chosen)
+
+
+def page_text(source: str, template: frozenset[int] = frozenset()) -> str:
+    """The page's main text; if layout names leave nothing, they are not heeded."""
+    page = Page(source, template)
+    text = page.text()
+    return text if text or not page.wrapped else Page(source, template, wrappers=False).text()
 
 
 def host_column(url: str):
@@ -252,7 +293,8 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 def extract_text(df: DataFrame, html: str = "html", url: str = "url", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all by default) and text, the page's main text.
 
-    Null or empty html gives an empty text.  Pages without a host share one.
+    Null or empty html gives an empty text; a very long page is read whole.
+    Pages without a host share one.  An empty df gives an empty result.
     Rows stay as they are, repeated ones too; a column of df named like text is
     replaced.
     """
@@ -270,7 +312,7 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", text: str
                 made = []
                 for source, hashes in zip(part.column(1), part.column(2), strict=True):
                     template = frozenset(h % (1 << 64) for h in hashes.as_py() or ())
-                    made.append(Page(source.as_py() or "", template).text())
+                    made.append(page_text(source.as_py() or "", template))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.string())], ["kept", text])
 
     out = rows.mapInArrow(tidy(run), T.StructType([rows.schema["kept"], T.StructField(text, T.StringType())]))

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from gridlark.llm import queries as Q
-from gridlark.llm.html_text import Page, extract_text
+from gridlark.llm.html_text import extract_text, page_text
 
 DIR = "/root/testdata/sf0.001"
 
@@ -26,11 +26,20 @@ DIR = "/root/testdata/sf0.001"
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
         ("<article></article><p>rest", "rest"),
         ("<p>&copy; &#8364; &#x1F642; &unknown;", "© € 🙂 &unknown;"),
+        ('<article><h2 id="related-work">R</h2><p id="social-history">s</p><p class="notice-board">n</p><div class="share-price">9</div></article>', "R\ns\nn\n9"),
+        ('<article class="post comments-open"><p>a</p></article>', "a"),
+        ('<main class="no-ads"><div class="post comment-enabled">b</div></main>', "b"),
+        ('<article><p>a</p><article class="comment"><p>c</p></article><div class="commentList"><p>d</div><div id="adSlot_2">x</div></article>', "a"),
+        ('<div class="ad-box">x</div><div class="cookie-notice">y</div><section class="related_posts">z</section><p>k', "k"),
+        ('<main><p>long main text of the page</p><article><p>teaser</p></article></main>', "long main text of the page\nteaser"),
+        ('<main><p>lead</p><article><p>the article itself</p></article></main>', "the article itself"),
+        ('<div class="content with-sidebar"><p>t</p></div>', "t"),
+        ('<div class="sidebar"><p>only</p></div>', "only"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
 )
 def test_pages(source, text):
-    assert Page(source).text() == text
+    assert page_text(source) == text
 
 
 def frame(spark, pages):
@@ -62,3 +71,19 @@ def test_query_equals_the_articles(spark):
         article = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_templates_decide_where_no_article_does(spark):
+    """Menus, bars and notes without telling tags or names, told by their recurrence alone; page by page other texts stay."""
+    page = "<div><ul><li>Start<li>Shop<li>Us</ul></div><div><div>{0}<p>text of {0}</p><p>more of {0}</p></div><div><b>Call us today</b></div></div><div>All about it. <i>Imprint</i></div>"
+    pages = [(f"http://{'abc'[k % 3]}.example/{k}", page.format(k)) for k in range(30)]
+    rows = extract_text(frame(spark, pages)).orderBy("page_id").collect()
+    assert [r["text"] for r in rows] == [f"{k}\ntext of {k}\nmore of {k}" for k in range(30)]
+    single = extract_text(frame(spark, pages[:1])).collect()
+    assert single[0]["text"].startswith("Start\nShop") and single[0]["text"].endswith("Imprint")
+
+
+def test_repeated_rows_and_long_pages(spark):
+    long = "<article>" + "".join(f"<p>{k}</p>" for k in range(20_000)) + "</article>"
+    rows = extract_text(frame(spark, [("http://a.example/", long)] * 3)).collect()
+    assert [r["text"] for r in rows] == ["\n".join(map(str, range(20_000)))] * 3
