@@ -1,6 +1,6 @@
 """A cube's layout as a rectangle of cells, and its exports.
 
-The layout is collected: it holds as many cells as are shown.
+The layout is collected: it holds as many cells as are shown, up to a bound.
 """
 
 from __future__ import annotations
@@ -95,8 +95,16 @@ def _entries(frame, axis: _Axis) -> list[Entry]:
     return [Entry(r["depth"], tuple(r[n] for n in axis.names()[: r["depth"]]), tuple(r["ord"]), r["open"]) for r in rows]
 
 
+#: Cells that a collected layout may hold.
+MOST_CELLS = 2_000_000
+
+
 def grid_of(cube: Cube, aggregates: list[Aggregate] | None = None, empty: str = "(empty)", total: str = "Total") -> Grid:
+    """The layout, collected.  Raises ValueError for one of more than MOST_CELLS cells: write the cube's cells then."""
     shown = list(aggregates or cube.spec.aggregates)
+    size = cube.row_entries.where("has_entry").count() * cube.column_entries.where("has_entry").count()
+    if size > MOST_CELLS:
+        raise ValueError(f"{size} cells are more than a grid can hold; write Cube.result() or Cube.table() instead")
     cells = {}
     for r in cube.grid.where("facts > 0").select("ro", "co", *(cube._name(a) for a in shown)).collect():
         cells[tuple(r["ro"]), tuple(r["co"])] = [r[cube._name(a)] for a in shown]

@@ -352,8 +352,8 @@ class Cube:
         return found.withColumns({s: F.struct(F.col(s)["n"].alias("n"), F.col(s)["mean"].alias("mean"), F.col(f"_m2_{s}").alias("m2")) for s in spread})
 
     @cached_property
-    def _kept(self) -> DataFrame:
-        """cells, for the several parts of a layout.
+    def _held(self) -> tuple[DataFrame, bool]:
+        """cells, for the several parts of a layout, and whether they are few.
 
         Few cells are copied to the driver, from where one task works out the
         layout without a shuffle; more are stored in the shared folder.
@@ -361,10 +361,14 @@ class Cube:
         spark = self.facts.frame.sparkSession
         few = self.cells.limit(SMALL_LAYOUT + 1).toArrow()
         if few.num_rows <= SMALL_LAYOUT:
-            return spark.createDataFrame(few, self.cells.schema).coalesce(1)
+            return spark.createDataFrame(few, self.cells.schema).coalesce(1), True
         path = shared_folder(spark)
         self.cells.write.parquet(path)
-        return spark.read.schema(self.cells.schema).parquet(path)
+        return spark.read.schema(self.cells.schema).parquet(path), False
+
+    @property
+    def _kept(self) -> DataFrame:
+        return self._held[0]
 
     def _state(self, name: str) -> Column:
         return F.col(self._state_names[name])
@@ -410,8 +414,11 @@ class Cube:
                 key = F.col("_key").desc_nulls_last() if sort.descending else F.col("_key").asc_nulls_first()
                 order = [key, value.asc_nulls_first()]
             parent = axis.names(d - 1)
-            siblings = Window.partitionBy(*parent).orderBy(*order) if parent else Window.orderBy(*order)
-            here = here.withColumn("_o", F.row_number().over(siblings)).drop("_key")
+            if parent:
+                here = here.withColumn("_o", F.row_number().over(Window.partitionBy(*parent).orderBy(*order)))
+            else:
+                here = self._numbered(here, order, "_o")
+            here = here.drop("_key")
             above = levels[-1].select(*(F.col(n).alias(f"_{n}") for n in parent), F.col("ord").alias("_ord"))
             if parent:
                 here = here.join(above, all_of(F.col(n).eqNullSafe(F.col(f"_{n}")) for n in parent))
@@ -445,8 +452,29 @@ class Cube:
         hidden = F.when(root, F.lit(summary == "hidden")).otherwise(F.col("open") & F.lit(subtotals == "hidden"))
         below = F.when(root, F.lit(summary == "end")).otherwise(F.col("open") & F.lit(subtotals == "bottom"))
         e = e.withColumns({"has_entry": ~hidden, "_place": F.when(below, F.concat("ord", last)).otherwise(F.col("ord"))})
-        pos = F.when(F.col("has_entry"), F.row_number().over(Window.partitionBy("has_entry").orderBy("_place")) - 1)
-        return e.withColumn("pos", pos.cast("int")).drop("_place")
+        shown = self._numbered(e.where("has_entry"), [F.col("_place").asc()], "pos").withColumn("pos", (F.col("pos") - 1).cast("int"))
+        return shown.unionByName(e.where("not has_entry").withColumn("pos", F.lit(None).cast("int"))).drop("_place")
+
+    def _numbered(self, frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+        """frame with its rows' numbers, from 1, in an order without ties.
+
+        A small layout's rows are sorted by one task.  Others are dealt out by
+        range and stored; each part counts its own rows, on top of those before.
+        """
+        if self._held[1]:
+            return frame.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+        spark = frame.sparkSession
+        path = shared_folder(spark)
+        frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+        dealt = spark.read.parquet(path)
+        parts = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+        before, total = [], 0
+        for part, n in parts:
+            before.append((part, total))
+            total += n
+        starts = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+        within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+        return dealt.join(starts, "_part").withColumn(name, (within + F.col("_before")).cast("int")).drop("_part", "_before")
 
     @cached_property
     def row_entries(self) -> DataFrame:

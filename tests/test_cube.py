@@ -444,3 +444,17 @@ def test_charts_of_paths_and_scatters(f1):
     assert {(r["point"], r["x"]) for r in scatter_from_cell(cube, COUNTRY, QTY, COUNT, (E,)).collect()} == {(None, 4.0), ("Germany", 3.0), ("Hungary", 3.0)}
     lone = Cube(f1, CubeSpec(aggregates=(QTY,)))
     assert [r["value"] for r in chart_from_cube(lone, QTY).collect()] == [28]
+
+
+def test_large_layouts_are_dealt_out(f1, monkeypatch):
+    monkeypatch.setattr("gridlark.plans.cube.SMALL_LAYOUT", 3)
+    spec = CubeSpec(CubeAxis.of(AxisDimension(REGION, AxisSort("aggregate", QTY, descending=True)), COUNTRY, subtotals="hidden"), CubeAxis.of(CATEGORY), (QTY,))
+    cube = Cube(f1, spec, Expansion.of([(E,)]))
+    assert labels(cube.row_entries) == ["Asia", None, "Germany", "Hungary", None, "Σ"]
+    assert matrix(cube, QTY) == [[6, None, 5, 11], [None, 4, None, 4], [None, 1, 2, 3], [None, 3, None, 3], [None, 7, None, 7], [6, 15, 7, 28]]
+
+
+def test_grids_are_bounded(f1, monkeypatch):
+    monkeypatch.setattr("gridlark.exports.grid.MOST_CELLS", 3)
+    with pytest.raises(ValueError):
+        to_csv(Cube(f1, CubeSpec(CubeAxis.of(REGION), CubeAxis.of(CATEGORY), (QTY,))))
