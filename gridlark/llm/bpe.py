@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gridlark.llm.common import tidy
-from gridlark.llm.wordsplit import Cache, default_path, empty_caches, joined_ids, slabs, splitter
+from gridlark.llm.wordsplit import Cache, chunk_ids, default_path, empty_caches, joined_ids, slabs, splitter
 
 _NONE = np.int64(1) << 40
 
@@ -90,10 +90,7 @@ class WordBpe:
         return np.where(fits, self.rank[found], _NONE), self.made[found]
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        parts = list(map(self.split.words, chunks))
-        new = list({w for p in parts for w in p})
-        of = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
-        return [b"".join(map(of.__getitem__, p)) for p in parts]
+        return chunk_ids(self.split, chunks, lambda words: self.encode_words([w.encode() for w in words]) if words else [])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

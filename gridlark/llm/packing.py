@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.llm.common import stored, tidy
-from gridlark.llm.wordsplit import Cache, default_path, empty_caches, joined_ids, slabs, splitter
+from gridlark.llm.wordsplit import Cache, chunk_ids, default_path, empty_caches, joined_ids, slabs, splitter
 
 CAPACITY = 2048
 GROUPS = 1024
@@ -44,6 +44,7 @@ SMALL = 256
 #: A document's last id.
 END = 0
 PER_SALT = 500_000
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class LibraryIds:
@@ -54,16 +55,14 @@ class LibraryIds:
         self.model = self.split.library.model
         self.chunks, self.words = Cache(), Cache()
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """By the library's model; its normaliser and splitter have nothing left to do for a word."""
-        ids = [[t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.split.char_table))] for w in words]
-        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+        shown = [w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.split.char_table) for w in words]
+        ids = [[t.id for t in self.model.tokenize(w)] for w in shown]
+        return [_PACK[len(x)](*x) if len(x) < len(_PACK) else struct.pack(f"<{len(x)}I", *x) for x in ids]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        parts = list(map(self.split.words, chunks))
-        every = list(set().union(*parts))
-        of = dict(zip(every, self.words.values(every, self._words), strict=True))
-        return [of[p[0]] if len(p) == 1 else b"".join(map(of.__getitem__, p)) for p in parts]
+        return chunk_ids(self.split, chunks, lambda words: self.words.values(words, self._words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -93,6 +93,18 @@ class Automaton:
         lost[at[node[at] < 0]] = True
 
 
+def summed(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each range of rows: the sums of the first two columns, the greatest of the third."""
+    sums = np.zeros((len(rows) + 1, 2), np.int64)
+    np.cumsum(rows[:, :2], axis=0, out=sums[1:])
+    out = np.zeros((len(offsets) - 1, 3), np.int64)
+    out[:, :2] = sums[offsets[1:]] - sums[offsets[:-1]]
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):  # ranges without rows take no place, so the others' are gapless
+        out[some, 2] = np.maximum.reduceat(rows[:, 2], offsets[some])
+    return out
+
+
 class WordCounter:
     def __init__(self, path: str):
         self.split = splitter(path)
@@ -108,23 +120,18 @@ class WordCounter:
         self.cache = Cache()
 
     def _of(self, chunks: list[str]) -> list[tuple[int, int, int]]:
-        parts = [self.split.words(c) for c in chunks]
-        words = list({w for p in parts for w in p})
-        of = dict(zip(words, self.automaton.counts(words).tolist(), strict=True)) if words else {}
-        return [(len(p), sum(x := [of[w] for w in p]), max(x, default=0)) for p in parts]
+        """Words, tokens, and the most tokens of a word, for each chunk."""
+        names, code, offsets = self.split.words(chunks)
+        used = np.unique(code)
+        tokens = np.zeros(len(names), np.int64)
+        if len(used):
+            tokens[used] = self.automaton.counts([names[k].encode() for k in used.tolist()])
+        return list(map(tuple, summed(np.c_[np.ones(len(code), np.int64), tokens[code], tokens[code]], offsets).tolist()))
 
     def of(self, texts: list[str]) -> np.ndarray:
         """Words, tokens, and the most tokens of a word, for each text."""
         chunks, code, offsets = coded(list(map(lowered, texts)))
-        values = np.array(self.cache.values(chunks, self._of), np.int64).reshape(-1, 3)[code]
-        sums = np.zeros((len(values) + 1, 2), np.int64)
-        np.cumsum(values[:, :2], axis=0, out=sums[1:])
-        out = np.zeros((len(texts), 3), np.int64)
-        out[:, :2] = sums[offsets[1:]] - sums[offsets[:-1]]
-        some = np.flatnonzero(offsets[1:] > offsets[:-1])
-        if len(some):  # texts without a chunk take no place, so the others' ranges are gapless
-            out[some, 2] = np.maximum.reduceat(values[:, 2], offsets[some])
-        return out
+        return summed(np.array(self.cache.values(chunks, self._of), np.int64).reshape(-1, 3)[code], offsets)
 
 
 @lru_cache(maxsize=2)

@@ -28,15 +28,15 @@ FILE = "word_bpe_49k.json"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
 _PUNCTUATION = "¡-©«¬®-±´¶-¸»¿×÷‐-‧"
 _KNOWN = re.compile(rf"[\t-\r\x20-\x7e{_LETTERS}{_PUNCTUATION}]*")
-#: The splitter's pattern, for lower-case text of those characters.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: The splitter's pattern, for lower-case text of those characters; a line end, too, is a piece.
+_SPLIT = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 #: Bytes that a generation of a worker's cache may hold.  It changes speed only.
-CACHE = 24_000_000
+CACHE = 32_000_000
 #: Bytes of an entry besides its chunk, about.
 _ENTRY = 200
 #: Characters of text that are worked on at once.
-SLAB = 2_000_000
+SLAB = 4_000_000
 
 
 def default_path() -> str:
@@ -73,12 +73,37 @@ class Splitter:
             at = m.end()
         return [*out, text[at:]]
 
-    def words(self, chunk: str) -> list[bytes]:
-        """The words of a chunk, as UTF-8."""
-        if _KNOWN.fullmatch(chunk):
-            return [w.encode() for w in _SPLIT.findall(chunk.lower())]
+    def _odd_words(self, chunk: str) -> list[str]:
         normal = self.library.normalizer.normalize_str(chunk)
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def words(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct words, places among them, each chunk's range of places); chunks hold no ASCII white space."""
+        odd: list[int] = []
+        text = "\n".join(chunks)
+        if not _KNOWN.fullmatch(text):
+            known = [_KNOWN.fullmatch(c) is not None for c in chunks]
+            odd = [k for k, x in enumerate(known) if not x]
+            text = "\n".join(c for c, x in zip(chunks, known, strict=True) if x)
+        found = _SPLIT.findall(text.lower()) if len(odd) < len(chunks) else []
+        sizes = np.zeros(len(chunks), np.int64)
+        others = [self._odd_words(chunks[k]) for k in odd]
+        flat = pa.array([*found, *(w for ws in others for w in ws)], pa.string()).dictionary_encode()
+        code = flat.indices.to_numpy()
+        names = flat.dictionary.to_pylist()
+        lines = np.flatnonzero(code[: len(found)] == names.index("\n")) if len(chunks) - len(odd) > 1 else np.zeros(0, np.int64)
+        plain = np.ones(len(chunks), bool)
+        plain[odd] = False
+        if len(odd) < len(chunks):
+            sizes[plain] = np.diff(np.r_[-1, lines, len(found)]) - 1
+        sizes[odd] = list(map(len, others))
+        # In the chunks' order: those of well-known characters have their words first.
+        begin = np.zeros(len(chunks), np.int64)
+        begin[plain] = np.r_[0, lines + 1][: len(chunks) - len(odd)]
+        begin[odd] = len(found) + np.cumsum(sizes[odd]) - sizes[odd]
+        offsets = np.r_[0, np.cumsum(sizes)]
+        at = np.repeat(begin - offsets[:-1], sizes) + np.arange(offsets[-1])
+        return names, code[at], offsets
 
 
 def lowered(text: str) -> str:
@@ -147,6 +172,30 @@ def coded(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return flat.dictionary.to_pylist(), flat.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
+def _gathered(values: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values' ids at the places code, one after the other; where each ends)."""
+    ids = np.frombuffer(b"".join(values), "<u4")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    n = sizes[code]
+    ends = np.cumsum(n)
+    begins = (np.cumsum(sizes) - sizes)[code] - (ends - n)
+    place = np.repeat(begins.astype(np.int32), n)  # a slab has far fewer ids than 2^31
+    place += np.arange(len(place), dtype=np.int32)
+    return ids[place], ends
+
+
+def chunk_ids(split: Splitter, chunks: list[str], of_words: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Each chunk's ids; of_words gives those of distinct words."""
+    names, code, offsets = split.words(chunks)
+    used = np.unique(code)
+    values = [b""] * len(names)
+    for k, v in zip(used.tolist(), of_words([names[k] for k in used.tolist()]), strict=True):
+        values[k] = v
+    ids, ends = _gathered(values, code)
+    data, at = ids.tobytes(), (4 * np.r_[0, ends][offsets]).tolist()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def joined_ids(split: Splitter, texts: list[str], cache: Cache, make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
     """Each text's ids (little-endian, 4 bytes each); make gives the ids of new chunks.
 
@@ -157,15 +206,8 @@ def joined_ids(split: Splitter, texts: list[str], cache: Cache, make: Callable[[
     if not plain:
         return []
     chunks, code, offsets = coded(plain)
-    values = cache.values(chunks, make)
-    ids = np.frombuffer(b"".join(values), "<u4")
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    n = sizes[code]
-    ends = np.cumsum(n)
-    begins = (np.cumsum(sizes) - sizes)[code] - (ends - n)
-    place = np.repeat(begins.astype(np.int32), n)  # a slab has far fewer ids than 2^31
-    place += np.arange(len(place), dtype=np.int32)
-    gathered = ids[place].tobytes()
+    ids, ends = _gathered(cache.values(chunks, make), code)
+    gathered = ids.tobytes()
     at = (4 * np.r_[0, ends][offsets]).tolist()
     out, k = [], 0
     for p in parts:
