@@ -109,6 +109,9 @@ class DatePattern:
     def parse(self, text: Column) -> Column:
         """As a zoneless timestamp; null for other texts and for days that don't exist."""
         expression, parts = self._compiled()
+        if re.fullmatch(r"yyyy-MM-dd([T ]HH:mm(:ss(\.SSS)?)?)?Z?", self.pattern):  # a text of this shape can be cast as it stands
+            plain = F.substring(text, 1, len(self.pattern) - 1) if self.pattern.endswith("Z") else text
+            return F.when(text.rlike(expression), plain.try_cast("timestamp_ntz"))
         of = {p: F.regexp_extract(text, expression, k + 1) for k, p in enumerate(parts)}
         two = lambda p: F.lpad(of[p], 2, "0") if p in of else F.lit("01" if p in ("month", "day") else "00")
         year = of["year"] if "year" in of else F.concat(F.when(of["short"] < "70", F.lit("20")).otherwise(F.lit("19")), of["short"]) if "short" in of else F.lit("1970")
