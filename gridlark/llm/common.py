@@ -34,11 +34,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder; a folder of our own only where none is set, as in tests."""
+    """The cluster's shared folder; a folder of our own only where none is set and one machine does all, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = context.getConf().get("spark.checkpoint.dir")
+    if shared is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridlark-checkpoint-"))
 
 

@@ -242,25 +242,33 @@ def pack(parts: DataFrame, by: list[str], length: str = "length", capacity: int
 
     by names the columns that tell rows apart; rows alike in them and in length
     may trade places.  parts is read more than once and must be the same each
-    time: pass a stored table.  Without rows there are no sequences.
+    time: pass a stored table.  Columns of parts named like the two are
+    replaced.  Without rows there are no sequences.
     """
-    counts = {r[0]: r[1] for r in parts.groupBy(length).agg(F.count(F.lit(1))).collect()}
+    own = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    rows = parts.select(F.struct(*own).alias("row"), F.struct(*by).alias("by"), F.col(length).alias("length"))
+    counts = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1))).collect()}
     segments, _ = plan(counts, capacity, groups, small)
     salts = np.ones(capacity + 1, np.int64)
     for n, c in counts.items():
         salts[n] = -(-c // PER_SALT)
-    most = F.get(F.split(F.lit(",".join(map(str, salts))), ",").cast("array<long>"), F.col(length).cast("int"))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*by), most))
-    before = salted.groupBy(length, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select(length, "_salt", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*by)) - 1
-    ranked = salted.withColumn("_within", within).join(before, [length, "_salt"])
-    ranked = ranked.select(*parts.columns, (F.col("_before") + F.col("_within")).alias("rank"))
-    schema = T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(tidy(_place(segments)), schema)
+    most = F.get(F.split(F.lit(",".join(map(str, salts))), ",").cast("array<long>"), F.col("length").cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("by"), most))
+    before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("length", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("by")) - 1
+    ranked = salted.withColumn("within", within).join(before, ["length", "salt"])
+    ranked = ranked.select("row", "length", (F.col("before") + F.col("within")).alias("rank"))
+    schema = T.StructType([ranked.schema["row"], ranked.schema["length"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(tidy(_place(segments)), schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """pieces() of df with sequence_id and offset.  Rows with equal ids are packed each."""
+    """pieces() of df with sequence_id and offset; other columns of df don't come along.
+
+    Rows with equal or null ids are packed each; a null or empty text is one
+    token; a very long one is encoded whole and cut.  An empty df gives an
+    empty result.
+    """
     return pack(stored(pieces(df, id, text, capacity, path)), [id, "piece"], capacity=capacity)

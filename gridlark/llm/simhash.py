@@ -236,7 +236,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", dista
 
     fingerprint is a signed long, component_id the smallest id reachable by
     links, the row's own included.  Null and empty texts have fingerprint 0 and
-    link like any other.  Rows with equal ids are each kept.
+    link like any other; very long ones are hashed in blocks.  Rows with equal
+    ids are each kept, and so are those with a null id, which counts as no id: a
+    component of such rows only has a null component_id.  Other columns of df
+    don't come along.  An empty df gives an empty result.
     """
     prints = cut(fingerprints(df.select(id, text), text, [id]))
     classes = prints.groupBy("fingerprint").agg(F.min(id).alias("least"))

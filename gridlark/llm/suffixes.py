@@ -425,10 +425,13 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     remaining is the UTF-8 text without each byte that a repeated window of
     length bytes covers: binary, or as_text a string, without the bytes of
     characters that the border of a removed range cuts.  Null and empty texts, and any shorter than
-    length, lose nothing.  Rows with equal ids are each kept and judged by
-    their texts.
+    length, lose nothing; very long ones are read in segments.  Rows with equal
+    or null ids are each kept and judged by their texts; a row that is there
+    twice is a repeated text.  Columns named like those above are not kept.
+    An empty df gives an empty result.
     """
-    rows = _key(df, id, text, keep or [])
+    keep = [c for c in keep or [] if c not in (id, "n_bytes", "n_removed", "n_spans", "remaining")]
+    rows = _key(df, id, text, keep)
     ranges = repeated_ranges(rows, length, gram, gather).groupBy("id", "a").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     numbers = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     out = T.StructType([rows.schema["id"], rows.schema["kept"], *numbers, T.StructField("remaining", T.StringType() if as_text else T.BinaryType())])

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridlark.llm import queries as Q
 from gridlark.llm.components import components
@@ -201,3 +202,14 @@ def test_suffix_query(spark):
     rows = Q.op5_suffix_dedup(spark, DIR).orderBy("doc_id").collect()
     for expected, r in zip(slow_removal([d["text"] for d in docs], 200), rows, strict=True):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (*expected[:3], hashlib.sha256(expected[3]).hexdigest())
+
+
+def test_null_ids_and_clashing_columns(spark):
+    body = " ".join(f"w{k}" for k in range(300))
+    rows = [(None, body, "x"), (None, "quite another text of a few words", "x"), (7, body, "x"), (9, None, "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string").withColumns({"component_id": F.lit(1), "node": F.lit(2)})
+    found = {(r["doc_id"], r["fingerprint"] == 0, r["component_id"]) for r in near_duplicates(df).collect()}
+    assert found == {(None, False, 7), (7, False, 7), (None, False, None), (9, True, 9), (None, True, 9)}
+    kept = remove_repeats(df, keep=["n_bytes", "node"])
+    assert kept.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "remaining", "node"]
+    assert sorted(r["n_removed"] for r in kept.collect()) == [0, 0, 0, len(body), len(body)]
