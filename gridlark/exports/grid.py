@@ -45,6 +45,9 @@ class Grid:
     cells: dict[tuple[tuple, tuple], list]
     row_levels: int
     column_levels: int
+    #: (level, position) -> (level_start, level_span, entry_start, entry_span) of the header area there.
+    row_areas: dict[tuple[int, int], tuple[int, int, int, int]]
+    column_areas: dict[tuple[int, int], tuple[int, int, int, int]]
     empty: str = "(empty)"
     total: str = "Total"
 
@@ -60,33 +63,34 @@ class Grid:
         found = self.cells.get((row.ord, column.ord))
         return None if found is None else found[k]
 
+    def _header(self, areas: dict, entry: Entry, level: int, levels: int, at: int) -> tuple[object, bool, int, int]:
+        """(label, whether an area begins here, levels and entries that it spans)."""
+        first, span, start, run = areas[level, at]
+        return self.name(entry, level), (level, at) == (first, start), min(span, levels - first), run
+
     def table(self) -> list[list[GridCell]]:
         """Header rows, one for each column level and one for the aggregates, then body rows."""
         out: list[list[GridCell]] = []
         corner = max(self.row_levels, 1)
         levels = max(self.column_levels, 1)
+        many = len(self.aggregates)
         for level in range(levels):
             row = [GridCell(None, header=True) for _ in range(corner)]
             if self.column_labels and level < self.column_levels:
                 row[0] = GridCell(self.column_labels[level], header=True)
-            before: Entry | None = None
-            for c in self.columns:
-                origin = level + 1 >= c.depth or before is None or before.path[: level + 1] != c.path[: level + 1] or before.depth <= level
-                for k in range(len(self.aggregates)):
-                    row.append(GridCell(self.name(c, level), origin and k == 0, True))
-                before = c
+            for at, c in enumerate(self.columns):
+                label, origin, deep, wide = self._header(self.column_areas, c, level, levels, at)
+                row += [GridCell(label, origin and k == 0, True, wide * many if k == 0 and origin else 1, deep if origin else 1) for k in range(many)]
             out.append(row)
         head = [GridCell(self.row_labels[k] if k < len(self.row_labels) else None, header=True) for k in range(corner)]
         out.append(head + [GridCell(a.label, header=True) for _ in self.columns for a in self.aggregates])
-        before = None
-        for r in self.rows:
+        for at, r in enumerate(self.rows):
             row = []
             for level in range(corner):
-                own = level + 1 >= r.depth or before is None or before.path[: level + 1] != r.path[: level + 1]
-                row.append(GridCell(self.name(r, level), own, True))
-            row += [GridCell(self.value(r, c, k)) for c in self.columns for k in range(len(self.aggregates))]
+                label, origin, wide, deep = self._header(self.row_areas, r, level, corner, at)
+                row.append(GridCell(label, origin, True, wide if origin else 1, deep if origin else 1))
+            row += [GridCell(self.value(r, c, k)) for c in self.columns for k in range(many)]
             out.append(row)
-            before = r
         return out
 
 
@@ -108,6 +112,7 @@ def grid_of(cube: Cube, aggregates: list[Aggregate] | None = None, empty: str =
     cells = {}
     for r in cube.grid.where("facts > 0").select("ro", "co", *(cube._name(a) for a in shown)).collect():
         cells[tuple(r["ro"]), tuple(r["co"])] = [r[cube._name(a)] for a in shown]
+    areas = lambda side: {(r["level"], r["pos"]): (r["level_start"], r["level_span"], r["entry_start"], r["entry_span"]) for r in cube.header_areas(side).collect()}
     labels = lambda axis: [_label(cube, d.dimension) for d in axis.axis.dimensions[: axis.levels]]
     return Grid(
         _entries(cube.row_entries, cube._rows),
@@ -118,6 +123,8 @@ def grid_of(cube: Cube, aggregates: list[Aggregate] | None = None, empty: str =
         cells,
         cube._rows.levels,
         cube._columns.levels,
+        areas("rows"),
+        areas("columns"),
         empty,
         total,
     )
@@ -214,25 +221,19 @@ _STYLE = "table{border-collapse:collapse}th,td{border:1px solid #ccc;padding:2px
 
 
 def to_html(cube: Cube, aggregates: list[Aggregate] | None = None, stylesheet: bool = True) -> str:
-    """A table whose neighbouring equal headers are one."""
+    """A table whose header areas are one cell each."""
     g = grid_of(cube, aggregates)
-    rows = g.table()
     head = max(g.column_levels, 1) + 1
     out = ["<style>" + _STYLE + "</style>"] if stylesheet else []
     out.append("<table><thead>")
-    for y, row in enumerate(rows):
+    for y, row in enumerate(g.table()):
         if y == head:
             out.append("</thead><tbody>")
         out.append("<tr>")
-        at = 0
-        while at < len(row):
-            cell, span = row[at], 1
-            if y < head - 1 and at >= max(g.row_levels, 1):
-                while at + span < len(row) and not row[at + span].origin:
-                    span += 1
-            tag = "th" if cell.header else "td"
-            text = _html.escape(_text(cell.value)) if cell.origin else ""
-            out.append(f"<{tag}{f' colspan={span}' if span > 1 else ''}>{text}</{tag}>")
-            at += span
+        for cell in row:
+            if cell.origin:
+                tag = "th" if cell.header else "td"
+                spans = "".join(f' {name}="{n}"' for name, n in (("colspan", cell.column_span), ("rowspan", cell.row_span)) if n > 1)
+                out.append(f"<{tag}{spans}>{_html.escape(_text(cell.value))}</{tag}>")
         out.append("</tr>")
     return "".join(out) + "</tbody></table>"

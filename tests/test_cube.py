@@ -1,12 +1,15 @@
 """Cubes on small tables with known results, and invariants on a larger one."""
 
+import io
+import zipfile
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridlark.exports.config import CubeJson, FormatError
-from gridlark.exports.grid import CsvExportOptions, format_number, json_records, to_csv, to_html, to_json
+from gridlark.exports.files import cube_to_ods, cube_to_xlsx
+from gridlark.exports.grid import CsvExportOptions, format_number, grid_of, json_records, to_csv, to_html, to_json
 from gridlark.operators.aggregates import COUNT, DISPLAYS, NEXT, PREVIOUS, CombinedAggregate, CustomAggregate, CustomLayoutAggregate, DifferenceFrom, FormulaAggregate, Item, PercentOf, Rank, RunningTotal, average_of, build, count_values, distinct_count, max_of, std_dev, sum_of, variance
 from gridlark.operators.dimensions import ColumnDimension, DatePartDimension, ExpressionDimension, ExpressionMeasure, MappedDimension, standard_dimensions
 from gridlark.operators.facts import FactTable
@@ -351,7 +354,27 @@ def test_json_and_html_grids(f5):
     assert records[1] == {"region": "Asia", "(empty) / sum of qty": 6.0, "(empty) / count": 1, "A / sum of qty": None, "A / count": None, "B / sum of qty": 5.0, "B / count": 1, "Total / sum of qty": 11.0, "Total / count": 2}
     assert to_json(cube, lines=True).count("\n") == len(records)
     page = to_html(cube)
-    assert page.count("<tr>") == 2 + 4 and "<th colspan=2>A</th>" in page and "<style>" not in to_html(cube, stylesheet=False)
+    assert page.count("<tr>") == 2 + 4 and '<th colspan="2">A</th>' in page and "<style>" not in to_html(cube, stylesheet=False)
+
+
+def test_merged_headers(f5):
+    spec = CubeSpec(CubeAxis.of(REGION, COUNTRY), CubeAxis.of(CATEGORY), (QTY, COUNT))
+    cube = Cube(f5, spec, Expansion.of([(E,)]))
+    page = to_html(cube, stylesheet=False)
+    assert f'<th rowspan="4">{E}</th>' in page and '<th colspan="2">Asia</th>' in page and '<th colspan="2">Total</th>' in page
+    table = grid_of(cube).table()
+    taken = [[0] * len(row) for row in table]
+    for y, row in enumerate(table):
+        for x, c in enumerate(row):
+            for i in range(c.row_span if c.origin else 0):
+                for j in range(c.column_span):
+                    taken[y + i][x + j] += 1
+    assert {n for row in taken for n in row} == {1}  # areas cover each place once
+    with zipfile.ZipFile(io.BytesIO(cube_to_xlsx(cube))) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert '<mergeCell ref="A5:A8"/>' in sheet
+    with zipfile.ZipFile(io.BytesIO(cube_to_ods(cube))) as z:
+        assert 'table:number-rows-spanned="4"' in z.read("content.xml").decode()
 
 
 def test_configurations_come_back(f1):
