@@ -12,10 +12,10 @@ or 8 of the 64, one with 3 of 20 (a passage cut out or put in, at 0.8 exactly)
 in one on average.  Recall is measured in the README.
 
 A class is the texts of one set, known by a 64-bit hash of it.  Candidates
-whose first 128 bits differ in more than 44 are left out: that is a third, and
-0.8 means a seventh.
+whose first 128 bits differ in more than 36 are left out: at 0.8 it is 19 on
+average and over 36 for one pair in 100,000.
 
-Scale: a class has 64 rows of 16 bytes, from which keys of one class drop out;
+Scale: a class has 64 rows of 32 bytes, and keys of one class drop out;
 sets are read only for classes that have a candidate.  A class first meets the
 least classes of its first keys, the nearest few of them.  Then only keys whose
 classes are not yet in one component are left, and there the classes outside
@@ -45,7 +45,7 @@ SIZE, LEAST = 5, 80
 FEATURE = 2
 BLOCKS, BITS = 64, 31
 #: Of the first 128 bits, how many may differ.
-NEAR = 44
+NEAR = 36
 #: Blocks whose least classes a class meets first, and how many of these, the nearest; later steps see to the rest.
 STAR_BLOCKS, FIRST = 12, 8
 #: Classes that a task holds of a key at once.
@@ -239,15 +239,15 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", size: int
     sketches = stored(_sketches(rows, size))
     sketch = F.struct("print0", "print1", "anchors")
     classes = stored(sketches.groupBy("name").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.min("id").alias("least"), F.first(sketch).alias("of")).select("name", "row", "least", "of.*"))
-    prints = classes.select("name", "print0", "print1")
-    keys = classes.select("name", F.posexplode("anchors").alias("block", "anchor"))
-    keys = keys.select("name", (F.shiftleft(F.col("block").cast("long"), 32) + F.col("anchor")).alias("key"))
+    prints = ["print0", "print1"]
+    keys = classes.select("name", *prints, F.posexplode("anchors").alias("block", "anchor"))
+    keys = keys.select("name", *prints, (F.shiftleft(F.col("block").cast("long"), 32) + F.col("anchor")).alias("key"))
     busy = keys.groupBy("key").agg(F.min("name").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = stored(keys.join(busy, "key").select("key", "name", "centre"))
+    keyed = stored(keys.join(busy, "key").select("key", "name", *prints, "centre"))
 
-    pairs = keyed.where((F.col("key") < STAR_BLOCKS << 32) & (F.col("name") != F.col("centre"))).select("centre", "name").distinct()
-    named = lambda name: prints.select(F.col("name").alias(name), *(F.col(f"print{k}").alias(f"{name}_print{k}") for k in (0, 1)))
-    pairs = pairs.join(named("centre"), "centre").join(named("name"), "name").select("name", "centre", _apart("name_", "centre_").alias("apart")).where(F.col("apart") <= NEAR)
+    pairs = keyed.where((F.col("key") < STAR_BLOCKS << 32) & (F.col("name") != F.col("centre"))).select("centre", "name", *prints).distinct()
+    of_centre = classes.select(F.col("name").alias("centre"), *(F.col(p).alias(f"centre_{p}") for p in prints))
+    pairs = pairs.join(of_centre, "centre").select("name", "centre", _apart("", "centre_").alias("apart")).where(F.col("apart") <= NEAR)
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("apart", "centre"))), 1, FIRST)
     star = pairs.groupBy("name").agg(nearest.alias("of")).select("name", F.explode("of.centre").alias("key"))
     star = stored(star.select("key", "name", F.col("name").alias("root")))
@@ -258,15 +258,15 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", size: int
     first = stored(_links(centres, star, sets, least, chunk))
     roots = components(first)
 
-    labelled = keyed.join(roots, keyed["name"] == roots["node"], "left").select("key", "name", F.coalesce("root", "name").alias("root"))
+    labelled = keyed.join(roots, keyed["name"] == roots["node"], "left").select("key", "name", *prints, F.coalesce("root", "name").alias("root"))
     labelled = stored(labelled)
     shares = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = shares.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "most")
-    rest = stored(labelled.join(mixed, "key").join(prints, "name"))
-    other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("name", "root", "print0", "print1")))
+    rest = stored(labelled.join(mixed, "key"))
+    other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("root", *prints)))
     meet = (F.col("root") != F.col("other_root")) & (_apart("", "other_") <= NEAR)
     few = stored(rest.where("root != most").join(other, (rest["key"] == other["key"]) & meet, "left_semi"))
-    other = few.select(F.col("key").alias("other_key"), *(F.col(c).alias(f"other_{c}") for c in ("name", "root", "print0", "print1")))
+    other = few.select(F.col("key").alias("other_key"), *(F.col(c).alias(f"other_{c}") for c in ("root", *prints)))
     met = stored(rest.join(other, (F.col("key") == F.col("other_key")) & meet, "left_semi"))
     lacking = met.select("name").union(few.select("name")).distinct().join(sets, "name", "left_anti")
     every = sets.unionByName(_sets(lacking.join(of_rows, "name"), rows, size))
