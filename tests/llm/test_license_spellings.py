@@ -5,7 +5,7 @@ from re import _parser as parser
 
 import pytest
 
-from gridlark.llm.licenses import license_scan, numbered, rules
+from gridlark.llm.licenses import NEEDLES, license_scan, numbered, rules
 
 CASES = [
     ("Creative Commons Attribution-ShareAlike 4.0", (0, 6, 2, "cc-by-sa")),
@@ -30,8 +30,8 @@ def test_numbered_rules_match_what_plain_ones_do(text):
         assert [(int(m[0].split(":")[0]), m[0].count(" ")) for m in re.finditer(numbered(pattern), numbers)] == slow
 
 
-def example(pattern: str) -> str:
-    """A shortest text that the pattern matches."""
+def example(pattern: str, choice: int = 0) -> str:
+    """A shortest text that the pattern matches, with the choice-th of each set of alternatives, or the last."""
 
     def of(items) -> str:
         out = ""
@@ -44,7 +44,7 @@ def example(pattern: str) -> str:
             elif name == "SUBPATTERN":
                 out += of(value[3])
             elif name == "BRANCH":
-                out += of(value[1][0])
+                out += of(value[1][min(choice, len(value[1]) - 1)])
             elif name == "IN":
                 out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "w", "NEGATE": lambda v: "w"}[str(value[0][0])](value[0][1])
             elif name == "NOT_LITERAL":
@@ -66,6 +66,13 @@ def test_every_rule_finds_its_own_example(spark):
         assert priority < max(x["priority"] for x in whole) or label in [x["label"] for x in whole], text
 
 
+def test_every_alternative_has_a_gating_string():
+    for _, keyword, pattern, _ in rules():
+        for choice in range(6):
+            text = example(pattern, choice)
+            assert keyword in text.split() and ("cc" in text.split() or any(n in text for n in NEEDLES)), text
+
+
 def test_many_detections_of_a_text(spark):
     text = " word ".join(["mit license"] * 5000)
     (r,) = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
