@@ -132,7 +132,7 @@ SENTENCES = (
     ("commons-clause", "sell", r"does not grant to you the right to sell the software"),
     ("proprietary", "rights", r"all rights reserved"),
     ("proprietary", "reproduced", r"no part of this (?:publication|book|document|work|site) may be reproduced"),
-    ("proprietary", "permission", r"may not be (?:copied|reproduced|distributed|republished)(?: or \w+)* without(?: the)?(?: express)? prior written (?:permission|consent)"),
+    ("proprietary", "written", r"may not be (?:copied|reproduced|distributed|republished)(?: or \w+)* without(?: the)?(?: express)? prior written (?:permission|consent)"),
     ("proprietary", "reproduction", r"reproduction in whole or in part without(?: written)? permission is (?:strictly )?prohibited"),
     ("proprietary", "proprietary", r"confidential and proprietary"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use|distribution) (?:of this file|is strictly prohibited|is prohibited)"),
