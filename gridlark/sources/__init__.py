@@ -1,7 +1,7 @@
 """Readers, schemas and import: from files to typed fact tables."""
 
 from gridlark.sources.ingest import ImportFailed, ImportReport, infer_schema, load_facts
-from gridlark.sources.readers import CsvOptions, JsonOptions, read_csv, read_json, read_jsonl, read_rows
+from gridlark.sources.readers import CsvOptions, JsonOptions, estimated_rows, read_csv, read_csv_url, read_json, read_jsonl, read_rows
 from gridlark.sources.schema import ColumnSpec, NumberSyntax, Schema
 
 __all__ = [
@@ -12,9 +12,11 @@ __all__ = [
     "JsonOptions",
     "NumberSyntax",
     "Schema",
+    "estimated_rows",
     "infer_schema",
     "load_facts",
     "read_csv",
+    "read_csv_url",
     "read_json",
     "read_jsonl",
     "read_rows",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import urllib.request
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,17 +25,40 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/files-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str) -> tuple[object, list]:
+    """The file system of a path, and the files it stands for: itself, a folder's, or those of a pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(system.globStatus(where) or ())
+    found = [s for top in found for s in (system.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return system, sorted((s for s in found if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().getName())
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a path."""
+    return sum(s.getLen() for s in _files(spark, path)[1])
+
+
+def copied(spark: SparkSession, url: str, name: str = "data") -> str:
+    """A new shared folder with what the url gives, read block by block by the driver."""
+    folder = shared_folder(spark)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        with urllib.request.urlopen(url) as source:
+            while block := source.read(1 << 20):
+                out.write(bytearray(block))
+    finally:
+        out.close()
+    return folder
+
+
 def head_of(spark: SparkSession, path: str, size: int = 100_000) -> str:
     """The first size bytes or so, as UTF-8, of the file, or of the first file of a folder or pattern."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(conf)
-    found = [s for s in system.globStatus(where) or ()]
-    if found and found[0].isDirectory():
-        found = [s for s in system.listStatus(found[0].getPath()) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    system, found = _files(spark, path)
     if not found:
         return ""
-    first = min(found, key=lambda s: s.getPath().getName())
+    first = found[0]
     stream = system.open(first.getPath())
     try:
         data = stream.readNBytes(size) if first.getLen() else b""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.sources.folders import head_of, shared_folder
+from gridlark.sources.folders import copied, head_of, shared_folder, size_of
 
 
 @dataclass(frozen=True)
@@ -135,6 +135,29 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions())
     return lines.select(F.from_csv("value", kinds, how).alias("r")).select("r.*").toDF(*names)
 
 
+def read_csv_url(spark: SparkSession, url: str, options: CsvOptions = CsvOptions()) -> DataFrame:
+    """read_csv of what an http(s) or file url gives; it is copied to the shared folder first."""
+    return read_csv(spark, copied(spark, url), options)
+
+
+def estimated_rows(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> int | None:
+    """About how many records files hold, from their size and the records of the first one's start; None without any.
+
+    No data is read but that start.
+    """
+    start = head_of(spark, path)
+    head = start.splitlines()[options.skip_leading_lines :]
+    total = size_of(spark, path)
+    read = sum(len(line.encode()) + 1 for line in head)
+    records = sum(1 for r in csv.reader(iter([line + "\n" for line in head]), delimiter=options.delimiter, quotechar=options.quote or None) if any(c.strip() for c in r))
+    if not records:
+        return None
+    header = 1 if options.has_header else 0
+    if len(start.encode()) >= total:  # that was all of it
+        return max(0, records - header)
+    return max(0, round(total / (read / records)) - header)
+
+
 @dataclass(frozen=True)
 class JsonOptions:
     flatten: bool = True
