@@ -14,7 +14,9 @@ where many fingerprints meet, residents and guests are dealt out in chunks and
 each pair of chunks is a task's work of its own, so no task sees more than a
 fixed number of fingerprints of an anchor at a time.  A task gives back a
 spanning forest of the links it finds, never all pairs of a group.  Components
-are found by star steps on fingerprints.
+are found by star steps on fingerprints.  Spark guesses the size of rows and of
+their anchors from that of compressed texts, which can be far less: all of them
+are joined by a merge, lest it sends them to the driver for broadcast.
 """
 
 from __future__ import annotations
@@ -222,7 +224,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, chunk: int
     # An anchor works only if it has a resident and another fingerprint; the resident is a guest of its home, too.
     parts = lambda n: F.ceil(n / chunk).cast("int")
     busy = counts.where((F.col("homes") > 0) & (F.col("all") > 1)).select("anchor", parts(F.col("homes")).alias("h"), parts(F.col("all")).alias("g"))
-    rows = every.join(busy, "anchor")
+    rows = every.hint("merge").join(busy, "anchor")
     own = lambda n: F.pmod(F.xxhash64("fingerprint"), F.col(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     resident = rows.where("home").select("anchor", own("h").alias("i"), every_of("g").alias("j"), F.lit(True).alias("home"), "fingerprint")
@@ -244,7 +246,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", dista
     prints = cut(fingerprints(df.select(id, text), text, [id]))
     classes = prints.groupBy("fingerprint").agg(F.min(id).alias("least"))
     joined = components(fingerprint_links(classes.select("fingerprint"), distance))
-    rooted = classes.join(joined, classes["fingerprint"] == joined["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = classes.hint("merge").join(joined, classes["fingerprint"] == joined["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(id, "fingerprint", "component_id")
+    named = rooted.hint("merge").join(least, "root").select("fingerprint", "component_id")
+    return prints.hint("merge").join(named, "fingerprint").select(id, "fingerprint", "component_id")

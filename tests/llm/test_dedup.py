@@ -213,3 +213,11 @@ def test_null_ids_and_clashing_columns(spark):
     kept = remove_repeats(df, keep=["n_bytes", "node"])
     assert kept.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "remaining", "node"]
     assert sorted(r["n_removed"] for r in kept.collect()) == [0, 0, 0, len(body), len(body)]
+
+
+def test_rows_are_not_broadcast_by_the_size_of_compressed_texts(spark):
+    df = spark.read.parquet(f"{DIR}/documents.parquet")
+    plan = lambda found: found._jdf.queryExecution().sparkPlan().toString()
+    prints = df.select(F.xxhash64("text").alias("fingerprint")).distinct()
+    assert "Broadcast" not in plan(fingerprint_links(prints))
+    assert "Broadcast" not in plan(near_duplicates(df))
