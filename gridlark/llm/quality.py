@@ -14,23 +14,29 @@ that is higher.
 
 Scale: the counting pass sends at most ``buckets`` rows from a task to the
 shuffle; the weights, ``buckets`` numbers whatever the input (128 KB), come back
-to the driver and go into the scoring plan as one folded constant.  Texts are
-never shuffled.  Trusted ids are a sample of at most ``max_trusted`` labelled
-rows, half of them counted, half held out, distrusted ones of at most
-``MAX_DISTRUSTED``, which bounds their broadcast.
+to the driver and go into the scoring plan as one folded constant.  Every
+labelled text counts, or is held out.  Half of the trusted ids are broadcast as
+bitmaps (a bit for each id of a range, ``MAX_MAPS`` ranges), so texts are not
+shuffled; if ids are no whole numbers or too far apart, and many, they are.
+Each text is scored once and its row stored; the threshold comes from the stored
+scores, by counts in ever narrower bins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridlark.llm.common import SPACE, let, stored
+from gridlark.llm.common import SPACE, let, small, stored
 
 BUCKETS = 1 << 14
-MAX_TRUSTED = 20_000
-#: Distrusted texts, of which only the median is wanted.
-MAX_DISTRUSTED = 2_000
+#: Bitmaps (4 KB each, for 32768 neighbouring ids) that are broadcast.
+MAX_MAPS = 4096
+#: Scores that the driver sorts; more are counted in BINS bins first.
+FEW, BINS = 10_000, 1024
 #: Of the trusted texts held out: the percentile that the threshold starts from.
 LOW = 0.01
 #: Added to each bucket's counts, so that no probability is 0.
@@ -124,23 +130,36 @@ def base_counts(df: DataFrame, text: str = "text", weights: Column | None = None
     return found.drop("_of_words")
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED, quality: int = 1) -> DataFrame:
+def trusted_ids(labels: DataFrame, max_trusted: int | None = None, quality: int = 1) -> DataFrame:
     """The doc_id of labelled rows of a quality: all, or the max_trusted first by a hash of the id."""
     found = labels.where(F.col("quality") == quality).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return found if max_trusted is None else found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+
+
+def marked(df: DataFrame, ids: DataFrame, max_maps: int = MAX_MAPS) -> DataFrame:
+    """df with t: 1 if its doc_id is among ids (doc_id, each once, none null), else 0."""
+    ids = stored(ids)
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if all(isinstance(x.schema["doc_id"].dataType, whole) for x in (df, ids)):
+        id = F.col("doc_id").cast("long")
+        maps = stored(ids.groupBy(F.bitmap_bucket_number(id).alias("_range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(id)).alias("_bits")))
+        if maps.count() <= max_maps:
+            place = F.bitmap_bit_position(id)
+            octet = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            bit = F.getbit(octet, (place % 8).cast("int")).cast("int")
+            return df.join(F.broadcast(maps), F.bitmap_bucket_number(id) == F.col("_range"), "left").withColumn("t", F.coalesce(bit, F.lit(0))).drop("_range", "_bits")
+    known = small(ids).withColumnRenamed("doc_id", "_id")
+    return df.hint("merge").join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("t", F.col("_id").isNotNull().cast("int")).drop("_id")
 
 
 def bucket_weights(df: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row: weights, an array of log(trusted / raw) by bucket.
 
-    Raw counts come from every row of df.  trusted (doc_id) must be of bounded
-    size: it is broadcast.  Without a trusted row every weight is 0.
+    Raw counts come from every row of df, trusted ones from those whose doc_id
+    is in trusted.  Without a trusted row every weight is 0.
     """
-    known = F.broadcast(trusted.select(F.col("doc_id").alias("_trusted")))
-    marked = df.join(known, F.col("doc_id") == F.col("_trusted"), "left").select(
-        F.col("_trusted").isNotNull().cast("int").alias("t"), let(words_of(F.col(text)), lambda w: _bucket_ids(w, buckets)).alias("ids")
-    )
-    counts = marked.select("t", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
+    ids = let(words_of(F.col(text)), lambda w: _bucket_ids(w, buckets)).alias("ids")
+    counts = marked(df.select("doc_id", text), trusted).select("t", ids).select("t", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
     every = df.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("id"))
     both = every.join(counts, "id", "left").na.fill(0, ["raw", "good"])
     sums = both.agg(
@@ -151,20 +170,50 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, text: str = "text", bucket
     return sums.select(F.transform("rows", weight).alias("weights"))
 
 
-def fit(df: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> tuple[list[float], float]:
-    """(weights, threshold); without trusted texts all weights are 0, and -infinity."""
-    trusted = trusted_ids(labels, max_trusted)
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    (fitted,) = bucket_weights(df, trusted.where(half == 0), text, buckets).collect()
-    good = trusted.where(half == 1).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good"))
-    bad = trusted_ids(labels, MAX_DISTRUSTED, 0).join(trusted, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), F.lit(False).alias("_good"))
-    held = F.broadcast(good.unionByName(bad))
-    # Stored, as the optimizer would else move the base rules below the join, to every text.
-    texts = stored(df.join(held, F.col("doc_id") == F.col("_id")).select(F.col(text).alias("text"), "_good"))
-    passed = base_counts(texts, "text", _constant(fitted["weights"]), buckets).where("not base_failed")
-    of = lambda good, at: F.percentile(F.when(F.col("_good") == good, F.col("llr")), F.lit(at))
-    (marks,) = passed.agg(of(True, LOW).alias("low"), of(True, 0.5).alias("middle"), of(False, 0.5).alias("bad")).collect()
-    return fitted["weights"], threshold(marks["low"], marks["middle"], marks["bad"])
+def percentiles(df: DataFrame, column: str, at: list[float], few: int = FEW) -> list[float | None]:
+    """Of the numbers in a column that is stored, exactly and as F.percentile has them; None if there are none.
+
+    At most few numbers or BINS counts come to the driver at once: bins that
+    hold a wanted place are divided further.
+    """
+    value = F.col(column)
+    (ends,) = df.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most")).collect()
+    places = [(ends["n"] - 1) * p for p in at]
+    found: dict[int, float] = {}
+    left = [(ends["least"], ends["most"], 0, ends["n"], {f(x) for x in places for f in (math.floor, math.ceil)})] if ends["n"] else []
+    while left:
+        low, high, first, n, ranks = left.pop()
+        inside = df.where(value.between(low, high))
+        if low == high:
+            found |= dict.fromkeys(ranks, low)
+        elif n <= few:
+            numbers = sorted(r[0] for r in inside.select(value).collect())
+            found |= {k: numbers[k - first] for k in ranks}
+        else:
+            place = F.floor((value - low) / (high - low) * BINS)
+            for r in sorted(inside.groupBy(place.alias("bin")).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most")).collect()):
+                if own := {k for k in ranks if first <= k < first + r["n"]}:
+                    left.append((r["least"], r["most"], first, r["n"], own))
+                first += r["n"]
+    between = lambda x: found[math.floor(x)] if x == math.floor(x) else (math.ceil(x) - x) * found[math.floor(x)] + (x - math.floor(x)) * found[math.ceil(x)]
+    return [between(x) if found else None for x in places]
+
+
+def _half() -> Column:
+    """0: a trusted id is counted, 1: it is held out."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+
+
+def fitted_threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """From all labelled texts that were held out and pass the base rules; -infinity without trusted ones.  scored is stored."""
+    trusted = trusted_ids(labels)
+    good = trusted.where(_half() == 1).select(F.col("doc_id").alias("_id"), F.lit(True).alias("good"))
+    bad = trusted_ids(labels, quality=0).join(trusted.hint("merge"), "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), F.lit(False).alias("good"))
+    passed = scored.where("not base_failed").select("doc_id", "llr")
+    held = stored(passed.hint("merge").join(good.unionByName(bad), F.col("doc_id") == F.col("_id")).select("good", "llr"))
+    low, middle = percentiles(held.where("good"), "llr", [LOW, 0.5])
+    (worse,) = percentiles(held.where("not good"), "llr", [0.5])
+    return threshold(low, middle, worse)
 
 
 def threshold(low: float | None, middle: float | None, bad: float | None) -> float:
@@ -180,8 +229,8 @@ def _constant(weights: list[float]) -> Column:
     return F.split(F.lit(",".join(str(round(w * UNIT)) for w in weights)), ",").cast("array<int>")
 
 
-def quality(df: DataFrame, labels: DataFrame, text: str = "text", least: float | None = None, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """df with the base counts, llr (the score) and kept; the threshold least (nats per n-gram) is fitted if not given.
+def quality(df: DataFrame, labels: DataFrame, text: str = "text", least: float | None = None, buckets: int = BUCKETS, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of df (all by default) with the base counts, llr (the score) and kept; the threshold least (nats per n-gram) is fitted if not given.
 
     Null and empty texts fail a base rule and are not kept; very long ones are
     read whole.  Repeated rows each count.  Columns of df with these names are
@@ -189,6 +238,10 @@ def quality(df: DataFrame, labels: DataFrame, text: str = "text", least: float |
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     df = df.drop(*(c for c in df.columns if c in own))
-    weights, fitted = fit(df, labels, text, buckets, max_trusted)
-    scored = base_counts(df, text, _constant(weights), buckets)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= (fitted if least is None else least)))
+    keep = [c for c in (df.columns if keep is None else keep) if c not in own]
+    (fitted,) = bucket_weights(df, trusted_ids(labels).where(_half() == 0), text, buckets).collect()
+    scored = base_counts(df, text, _constant(fitted["weights"]), buckets).select(*dict.fromkeys([*keep, "doc_id"]), *own[:-1])
+    if least is None:
+        scored = stored(scored)
+        least = fitted_threshold(scored, labels)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= least)).select(*keep, *own)

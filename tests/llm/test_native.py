@@ -6,12 +6,13 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridlark.llm import queries as Q
 from gridlark.llm.licenses import BASE, license_scan, rules
-from gridlark.llm.quality import base_counts, bucket_weights, quality, trusted_ids
+from gridlark.llm.quality import LOW, base_counts, bucket_weights, marked, percentiles, quality, threshold, trusted_ids
 from gridlark.llm.secret_scan import CLASSES, hot_range, redacted, secret_scan, spans_string
 
 DIR = "/root/testdata/sf0.001"
@@ -100,6 +101,38 @@ def test_trusted_ids_are_bounded(spark):
     assert len(few) == 10 and sorted(few) == sorted(trusted_ids(labels.repartition(7), 10).collect())
 
 
+def test_every_label_counts(spark):
+    labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality")
+    assert trusted_ids(labels).count() == 25_000
+    rng = random.Random(2)
+    share = [1 - k / 4000 for k in range(400)] + [rng.random() * 0.6 for _ in range(4200)] + [k / 1000 for k in range(1000)]
+    texts = [" ".join(f"w{rng.randrange(300)}" if rng.random() < x else f"#{rng.randrange(300)}$" for _ in range(60)) for x in share]
+    labels = spark.createDataFrame([(k, int(k < 400)) for k in range(4600)], "doc_id long, quality int")
+    rows = quality(frame(spark, texts), labels, buckets=4096).orderBy("doc_id").collect()
+    half = {r[0]: r[1] for r in spark.range(400).select("id", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))).collect()}
+    good = [r["llr"] for r in rows[:400] if half[r["doc_id"]] == 1 and not r["base_failed"]]
+    bad = [r["llr"] for r in rows[400:4600] if not r["base_failed"]]
+    least = threshold(*np.percentile(good, [100 * LOW, 50]), np.median(bad))
+    assert [r["kept"] for r in rows] == [not r["base_failed"] and r["llr"] >= least for r in rows]
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(3)
+    for numbers in ([rng.gauss(0, 1) for _ in range(3000)] + [0.25] * 2000 + [1e9, 1e-300, -5e-324], [3.5] * 500, [2.0]):
+        df = spark.createDataFrame([(x,) for x in numbers] + [(None,)], "x double")
+        assert percentiles(df, "x", [0.0, 0.01, 0.5, 0.7, 1.0], few=50) == pytest.approx(list(np.percentile(numbers, [0, 1, 50, 70, 100])), rel=1e-12)
+    assert percentiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_marks_by_bitmaps_and_by_joins(spark):
+    numbers = [0, 1, -1, 7, 8, 32767, 32768, 32769, -32768, -32769, 2**62, -(2**62), 255, 256]
+    df = spark.createDataFrame([(x,) for x in [*numbers, *numbers, None, 2, -7, 2**62 - 1]], "doc_id long")
+    ids = spark.createDataFrame([(x,) for x in numbers], "doc_id long")
+    for found in (marked(df, ids), marked(df, ids, max_maps=0), marked(df.select(F.col("doc_id").cast("string")), ids.select(F.col("doc_id").cast("string")))):
+        assert sorted((str(r["doc_id"]), r["t"]) for r in found.collect()) == sorted((str(r["doc_id"]), int(r["doc_id"] in numbers)) for r in df.collect())
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
