@@ -53,21 +53,19 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_WORD})"), F.lit(1))
 
 
-def _grams(words: Column, n: int) -> Column:
-    """Structs of n neighbouring words; none if there are fewer."""
-    size = F.size(words)
-    count = F.greatest(size - (n - 1), F.lit(0))
-    return F.arrays_zip(*(F.slice(words, k + 1, count).alias(f"w{k}") for k in range(n)))
+def _pair_hashes(words: Column) -> Column:
+    """A 64-bit hash of each two neighbouring words; none if there are fewer."""
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.xxhash64(a, b))
 
 
-def _bucket_ids(words: Column, buckets: int) -> Column:
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(_grams(words, 2), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def _bucket_ids(words: Column, pairs: Column, buckets: int) -> Column:
+    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+    return F.concat(F.transform(words, lambda w: bucket(F.xxhash64(w))), F.transform(pairs, bucket))
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more.
+def _repeated_words(words: Column, pairs: Column) -> Column:
+    """Words in 3-word windows that occur twice or more; pairs are the hashes of word pairs.
 
     Windows are told apart by their 64-bit hash; sorting (hash, place) puts
     equal ones side by side, so the work is n log n however often one recurs.
@@ -80,13 +78,14 @@ def _repeated_words(words: Column) -> Column:
 
     def among(sorted_: Column) -> Column:
         twice = F.filter(sorted_, lambda e, j: (e["h"] == F.get(sorted_, j - 1)["h"]) | (e["h"] == F.get(sorted_, j + 1)["h"]))
-        return covered(F.array_sort(F.transform(twice, lambda e: e["i"])))
+        return covered(F.sort_array(F.transform(twice, lambda e: e["i"])))
 
     def of(hashes: Column) -> Column:
-        pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.array_sort(pairs), among))
+        entries = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.sort_array(entries), among))
 
-    return let(F.transform(_grams(words, 3), lambda g: F.xxhash64(g)), of)
+    count = F.greatest(F.size(words) - 2, F.lit(0))
+    return let(F.zip_with(F.slice(pairs, 1, count), F.slice(words, 3, count), lambda p, w: F.xxhash64(p, w)), of)
 
 
 def _repeated_lines(text: Column) -> Column:
@@ -105,21 +104,20 @@ def base_counts(df: DataFrame, text: str = "text", weights: Column | None = None
     """
     whole = F.coalesce(F.col(text), F.lit(""))
 
-    def of(words: Column) -> Column:
-        out = [F.size(words).alias("n_words"), _repeated_words(words).alias("n_repeat_words")]
+    def of(words: Column, pairs: Column) -> Column:
+        out = [F.size(words).alias("n_words"), F.length(F.array_join(words, "")).alias("word_chars"), _repeated_words(words, pairs).alias("n_repeat_words")]
         if weights is not None:
-            ids = _bucket_ids(words, buckets)
             total = lambda ids: F.aggregate(ids, F.lit(0).cast("long"), lambda acc, b: acc + F.get(weights, b))
             mean = lambda ids: total(ids) / F.nullif(F.size(ids), F.lit(0)) / UNIT
-            out.append(let(ids, mean).alias("llr"))
+            out.append(let(_bucket_ids(words, pairs, buckets), mean).alias("llr"))
         return F.struct(*out)
 
-    found = df.withColumn("_of_words", let(words_of(F.col(text)), of))
+    found = df.withColumn("_of_words", let(words_of(F.col(text)), lambda w: let(_pair_hashes(w), lambda p: of(w, p))))
     n, repeated = F.col("_of_words.n_words").cast("long"), F.col("_of_words.n_repeat_words").cast("long")
     found = found.withColumns(
         {
             "n_words": n,
-            "word_chars": F.length(F.regexp_replace(whole, f"[{SPACE}]+", "")).cast("long"),
+            "word_chars": F.col("_of_words.word_chars").cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": _repeated_lines(whole).cast("long"),
             "n_repeat_words": repeated,
@@ -158,7 +156,7 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, text: str = "text", bucket
     Raw counts come from every row of df, trusted ones from those whose doc_id
     is in trusted.  Without a trusted row every weight is 0.
     """
-    ids = let(words_of(F.col(text)), lambda w: _bucket_ids(w, buckets)).alias("ids")
+    ids = let(words_of(F.col(text)), lambda w: _bucket_ids(w, _pair_hashes(w), buckets)).alias("ids")
     counts = marked(df.select("doc_id", text), trusted).select("t", ids).select("t", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
     every = df.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("id"))
     both = every.join(counts, "id", "left").na.fill(0, ["raw", "good"])

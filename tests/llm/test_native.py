@@ -101,6 +101,12 @@ def test_trusted_ids_are_bounded(spark):
     assert len(few) == 10 and sorted(few) == sorted(trusted_ids(labels.repartition(7), 10).collect())
 
 
+def test_windows_and_score_share_the_hashes_of_word_pairs(spark):
+    weights = F.split(F.lit("1,2,3,4"), ",").cast("array<int>")
+    plan = base_counts(frame(spark, ODD), weights=weights, buckets=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and plan.count("zip_with(") == 2  # word pairs, and windows made from them
+
+
 def test_every_label_counts(spark):
     labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality")
     assert trusted_ids(labels).count() == 25_000
