@@ -6,9 +6,12 @@ grouping sets over row prefixes x column prefixes.  Depth columns, not nulls,
 tell a rolled-up axis from the group of missing values.
 
 Two or more distinct counts each have finest groups of their own, cut by the
-counted dimension.  Standard deviations merge in a second look at the finest
-groups: their squares are moved to each cell's own mean, so large means lose
-nothing.
+counted dimension; whole numbers are cut into runs of 64 values, told by the
+bits of one number, and each grouping set is merged on its own from a finer
+one, so that no task holds a row for each value on every level.
+
+Standard deviations merge in a second look at the finest groups: their squares
+are moved to each cell's own mean, so large means lose nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.operators.aggregates import COUNT, Aggregate, BaseAggregate, DerivedAggregate, DistinctCountAggregate, LayoutAggregate, innermost
 from gridlark.operators.dimensions import Dimension
@@ -154,6 +158,14 @@ class Expansion:
 _LAST = 2**31 - 1
 
 
+def _run_and_bit(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """Where a value is counted: whole numbers by a bit of their run of 64, others by the one bit of a run of their own; null has none."""
+    if not isinstance(kind, T.IntegralType):
+        return value, F.when(value.isNotNull(), F.lit(1).cast("long"))
+    at = value.cast("long")
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
 @dataclass(frozen=True)
 class _Axis:
     """An axis of the plan: side is r or c, levels the visible ones."""
@@ -254,18 +266,23 @@ class Cube:
 
     def groups(self, counted: list[DistinctCountAggregate], every: bool = False) -> DataFrame:
         """The finest groups with their states, cut by the counted dimensions, too; of all dimensions or the visible ones."""
-        keys = self._keys(every) | {self._name(a): a.dimension.column(self._filtered) for a in counted}
-        grouped = self._filtered.frame.groupBy(*(c.alias(n) for n, c in keys.items()))
-        return grouped.agg(*(fold.alias(f"s{k}") for k, (fold, _) in enumerate(self._partials.values())))
+        return self._grouped_facts(self._keys(every) | {self._name(a): a.dimension.column(self._filtered) for a in counted}, [])
 
-    @property
-    def _together(self) -> list[DistinctCountAggregate]:
-        """Distinct counts whose dimensions cut the one set of finest groups."""
-        return self._distinct if len(self._distinct) < 2 or self._base is not None else []
+    def _grouped_facts(self, keys: dict[str, Column], more: list[Column]) -> DataFrame:
+        grouped = self._filtered.frame.groupBy(*(c.alias(n) for n, c in keys.items()))
+        return grouped.agg(*(fold.alias(f"s{k}") for k, (fold, _) in enumerate(self._partials.values())), *more)
 
     @cached_property
     def _finest(self) -> DataFrame:
-        return self._base if self._base is not None else self.groups(self._together)
+        """The finest groups of the cells, cut by the runs of a lone distinct count."""
+        if self._base is not None:
+            return self._base
+        if len(self._distinct) != 1:
+            return self.groups([])
+        a = self._distinct[0]
+        value = a.dimension.column(self._filtered)
+        run, bit = _run_and_bit(value, self._filtered.frame.select(value).schema[0].dataType)
+        return self._grouped_facts(self._keys() | {self._name(a): run}, [F.bit_or(bit).alias(self._bits(a))])
 
     def prepared(self) -> Cube:
         """This cube over stored groups of all its dimensions: what is opened and closed later reads no facts.
@@ -280,12 +297,26 @@ class Cube:
     @cached_property
     def cells(self) -> DataFrame:
         """rd, r0.., cd, c0.., and a column for each base and derived aggregate: one row for each cell with facts."""
-        apart = {} if self._together == self._distinct else {a: self._of_counted(a) for a in self._distinct}
+        apart = {} if len(self._distinct) < 2 else {a: self._of_counted(a) for a in self._distinct}
         return self._rolled_up(self._finest, apart)
 
+    def _bits(self, a: DistinctCountAggregate) -> str:
+        return f"b_{self._name(a)}"
+
+    def _marked(self, frame: DataFrame, a: DistinctCountAggregate) -> DataFrame:
+        """frame with a's values turned into their runs and bits."""
+        name = self._name(a)
+        run, bit = _run_and_bit(F.col(name), frame.schema[name].dataType)
+        return frame.withColumns({name: run, self._bits(a): bit})
+
     def _of_counted(self, a: DistinctCountAggregate) -> DataFrame:
-        keys = self._keys() | {self._name(a): a.dimension.column(self._filtered)}
-        return self._filtered.frame.select(*(c.alias(n) for n, c in keys.items())).where(F.col(self._name(a)).isNotNull()).distinct()
+        """The runs of a's values in each finest group, with the bits of those that are there."""
+        keys, name = self._keys(), self._name(a)
+        if self._base is not None:
+            values = self._base.select(*keys, name)
+        else:
+            values = self._filtered.frame.select(*(c.alias(n) for n, c in (keys | {name: a.dimension.column(self._filtered)}).items()))
+        return self._run_groups(self._marked(values.where(F.col(name).isNotNull()), a), [], a)
 
     def over_groups(self, finest: DataFrame) -> DataFrame:
         """table() from finest groups that were aggregated elsewhere, as a stream's are: see groups()."""
@@ -303,6 +334,40 @@ class Cube:
             return frame.groupingSets(self._sets, *keys).agg(F.grouping_id().alias("_bits"), *made)
         return frame.agg(*made).withColumn("_bits", F.lit(0).cast("long"))
 
+    def _place(self, of: list[str], kinds: T.StructType) -> list[Column]:
+        """_bits and keys of a grouping set, as grouping sets have them."""
+        keys = self._rows.names() + self._columns.names()
+        bits = sum(1 << (len(keys) - 1 - k) for k, name in enumerate(keys) if name not in of)
+        return [F.lit(bits).cast("long").alias("_bits"), *((F.col(n) if n in of else F.lit(None).cast(kinds[n].dataType)).alias(n) for n in keys)]
+
+    def _run_groups(self, frame: DataFrame, made: list[Column], a: DistinctCountAggregate) -> DataFrame:
+        """frame by keys and runs, its states merged by made."""
+        name, bits = self._name(a), self._bits(a)
+        return frame.groupBy(*self._rows.names(), *self._columns.names(), name).agg(*made, F.bit_or(bits).alias(bits))
+
+    def _counted(self, frame: DataFrame, made: list[Column], a: DistinctCountAggregate) -> DataFrame:
+        """_grouped for merges of states, with a's count as n_, from groups by keys and runs.
+
+        Each set takes its runs from a set with one key more and is merged on
+        its own: no task holds the runs of several sets at once.
+        """
+        rows, columns = self._rows, self._columns
+        name, bits = self._name(a), self._bits(a)
+        runs: dict[tuple[int, int], DataFrame] = {}
+        for i in range(rows.levels, -1, -1):
+            for j in range(columns.levels, -1, -1):
+                wider = runs.get((i, j + 1), runs.get((i + 1, j)))
+                if wider is None:
+                    runs[i, j] = frame
+                else:
+                    runs[i, j] = wider.groupBy(*rows.names(i), *columns.names(j), name).agg(*made, F.bit_or(bits).alias(bits))
+        states = [n for n in frame.columns if n in self._state_names.values()]
+        placed = [f.select(*self._place(rows.names(i) + columns.names(j), frame.schema), *states, bits) for (i, j), f in runs.items()]
+        cells = reduce(DataFrame.union, placed).groupBy("_bits", *rows.names(), *columns.names())
+        found = cells.agg(*made, F.coalesce(F.sum(F.bit_count(bits)), F.lit(0)).alias(f"n_{name}"))
+        once = frame.agg(*made).schema if made else T.StructType()  # sums of decimals widen with every merge
+        return found.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in once})
+
     def _joined(self, cells: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
         """cells with columns of more, both by _bits and keys; null keys are equal."""
         names = ["_bits", *self._rows.names(), *self._columns.names()]
@@ -320,8 +385,14 @@ class Cube:
                 made.append(F.struct(n.alias("n"), (F.sum(state["n"] * state["mean"]) / F.nullif(n, F.lit(0))).alias("mean")).alias(f"s{k}"))
             else:
                 made.append(merge(state).alias(f"s{k}"))
-        counted = lambda a: F.count_distinct(F.col(self._name(a))).alias(f"n_{self._name(a)}")
-        grouped = self._grouped(finest, made + [counted(a) for a in self._distinct if a not in apart])
+        together = [a for a in self._distinct if a not in apart]
+        if len(together) == 1:
+            a = together[0]
+            runs = finest if self._bits(a) in finest.columns else self._run_groups(self._marked(finest, a), made, a)
+            # The squares of moments are taken from the finest groups later.
+            grouped = self._counted(runs.withColumns({s: F.struct(F.col(s)["n"].alias("n"), F.col(s)["mean"].alias("mean")) for s in spread}), made, a)
+        else:
+            grouped = self._grouped(finest, made + [F.count_distinct(F.col(self._name(a))).alias(f"n_{self._name(a)}") for a in together])
         depth = lambda names, shift: len(names) - F.bit_count(F.shiftright("_bits", shift).bitwiseAND(F.lit((1 << len(names)) - 1)))
         placed = grouped.withColumns({"rd": depth(rows.names(), columns.levels).cast("int"), "cd": depth(columns.names(), 0).cast("int")})
         visible = placed.where(self._state("facts") > 0)
@@ -329,7 +400,7 @@ class Cube:
             visible = visible.where(axis.expansion.parent_open(F.col(axis.depth), [F.col(n) for n in axis.names()]))
         for a, frame in apart.items():
             name = f"n_{self._name(a)}"
-            visible = self._joined(visible, self._grouped(frame, [counted(a)]), [name]).na.fill(0, [name])
+            visible = self._joined(visible, self._counted(frame, [], a), [name]).na.fill(0, [name])
         if spread:
             visible = self._with_squares(visible, finest, spread)
         return self._valued(visible).select("rd", *rows.names(), "cd", *columns.names(), *(self._name(a) for a in self._plain))
@@ -337,13 +408,8 @@ class Cube:
     def _with_squares(self, cells: DataFrame, finest: DataFrame, spread: list[str]) -> DataFrame:
         """cells, whose spread states have n and mean, with m2: the groups' own and those of their means about the cell's."""
         keys = self._rows.names() + self._columns.names()
-
-        def place(of: list[str]) -> Column:
-            bits = sum(1 << (len(keys) - 1 - k) for k, name in enumerate(keys) if name not in of)
-            values = [(F.col(n) if n in of else F.lit(None).cast(finest.schema[n].dataType)).alias(n) for n in keys]
-            return F.struct(F.lit(bits).cast("long").alias("_bits"), *values)
-
-        parts = finest.select(F.explode(F.array(*map(place, self._sets))).alias("_at"), *spread).select("_at.*", *(F.col(s).alias(f"_{s}") for s in spread))
+        places = [F.struct(*self._place(of, finest.schema)) for of in self._sets]
+        parts = finest.select(F.explode(F.array(*places)).alias("_at"), *spread).select("_at.*", *(F.col(s).alias(f"_{s}") for s in spread))
         means = cells.select("_bits", *keys, *(F.col(s)["mean"].alias(f"_mean_{s}") for s in spread))
         moved = lambda s: F.col(f"_{s}")["m2"] + F.col(f"_{s}")["n"] * F.pow(F.col(f"_{s}")["mean"] - F.col(f"_mean_{s}"), F.lit(2))
         met = self._joined(parts, means, [f"_mean_{s}" for s in spread])

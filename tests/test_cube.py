@@ -3,6 +3,7 @@
 import io
 import zipfile
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -456,6 +457,64 @@ def test_moments_and_distinct_counts_at_every_level(spark):
         assert [r[d.id] for d in both] == [len({x[3] for x in kept}), len({x[4] for x in kept})]
 
 
+def test_distinct_values_are_not_expanded_by_the_grouping_sets(spark):
+    """A task holds runs of 64 whole numbers, or values, of one grouping set at a time."""
+    facts = FactTable.of(spark.range(6400).selectExpr("cast(id % 2 as int) a", "cast(id % 3 as int) b", "id - 3200 as n", "cast(id as string) t"))
+    for counts in ((distinct_count("n"), distinct_count("t")), (distinct_count("n"),), (distinct_count("t"),)):
+        cube = Cube(facts, CubeSpec(CubeAxis.of(ColumnDimension("a")), CubeAxis.of(ColumnDimension("b")), counts))
+        plan = cube.table()._jdf.queryExecution().optimizedPlan().toString()
+        expanded = [line for line in plan.splitlines() if "Expand [" in line]
+        assert not [line for line in expanded for a in counts if f"{cube._name(a)}#" in line]
+        assert {(r["row_depth"], r["column_depth"], *(r[a.id] for a in counts)) for r in cube.table().collect() if r["row_depth"] + r["column_depth"] < 2} == {
+            (d, e, *[n] * len(counts)) for d, e, n in ((0, 0, 6400), (1, 0, 3200), (0, 1, 2133), (0, 1, 2134))
+        }
+    ready = Cube(facts, CubeSpec(aggregates=(distinct_count("n"), distinct_count("t"))))
+    assert ready._of_counted(distinct_count("n")).count() == 100
+
+
+_COUNTED = [None, -(2**63), -(2**63) + 1, -65, -64, -63, -1, 0, 1, 63, 64, 65, 2**63 - 64, 2**63 - 1]
+
+
+def test_distinct_counts_of_any_type(spark):
+    """One alone and several, of facts and of stored groups, with values at the ends of runs, copies and nulls."""
+    rows = [(k % 3 if k % 7 else None, k % 2, _COUNTED[k * k % 14], k % 5 - 2 if k % 4 else None, [0.0, -0.0, float("nan"), None][k % 4], date(2020, 1, 1 + k % 9), f"t{k % 70}", k % 3 == 0, Decimal(k % 6) / 2) for k in range(300)]
+    frame = spark.createDataFrame(rows, "a int, b int, l long, s short, d double, day date, t string, yes boolean, m decimal(9,1)")
+    frame = frame.union(frame)
+    names = ["l", "s", "d", "day", "t", "yes", "m"]
+    total = CustomAggregate("total", lambda f: F.sum(f.column("m")), F.sum)
+    own = (variance("s"), sum_of("s"), total)
+    axes = CubeAxis.of(ColumnDimension("a")), CubeAxis.of(ColumnDimension("b"))
+    same = lambda v: None if v != v else v
+    expected = {}
+    for r in rows:
+        for i, a in ((0, None), (1, r[0])):
+            for j, b in ((0, None), (1, r[1])):
+                cell = expected.setdefault((i, a, j, b), [set() for _ in names])
+                for values, v in zip(cell, r[2:], strict=True):
+                    values.add(same(v))
+    expected = {at: [len(v - {None}) for v in cell] for at, cell in expected.items()}
+    at = lambda r: (r["row_depth"], r["a"], r["column_depth"], r["b"])
+    facts = FactTable.of(frame)
+    counts = [distinct_count(n) for n in names]
+    plain = Cube(facts, CubeSpec(*axes, own)).table()
+    sums = {at(r): r for r in plain.collect()}
+    several = Cube(facts, CubeSpec(*axes, tuple(counts)))
+    for cube in (several, several.prepared()):
+        assert {at(r): [r[c.id] for c in counts] for r in cube.table().collect()} == expected
+    for k in (0, 2, 4, 6):
+        cube = Cube(facts, CubeSpec(*axes, (counts[k], *own)))
+        for one in (cube, cube.prepared()):
+            table = one.table()
+            found = {at(r): r for r in table.collect()}
+            assert {at: r[counts[k].id] for at, r in found.items()} == {at: cell[k] for at, cell in expected.items()}
+            assert all(found[i]["total"] == r["total"] and found[i][own[1].id] == r[own[1].id] and found[i][own[0].id] == pytest.approx(r[own[0].id]) for i, r in sums.items())
+            assert table.schema["total"].dataType == plain.schema["total"].dataType
+    lone = Cube(facts, CubeSpec(aggregates=(counts[0], counts[4]))).table().collect()
+    assert [(r[counts[0].id], r[counts[4].id]) for r in lone] == [(expected[0, None, 0, None][0], expected[0, None, 0, None][4])]
+    assert Cube(facts, CubeSpec(aggregates=(counts[0],))).table().first()[counts[0].id] == expected[0, None, 0, None][0]
+    assert Cube(FactTable.of(frame.where("false")), CubeSpec(aggregates=(counts[0],))).table().count() == 0
+
+
 def test_charts_of_paths_and_scatters(f1):
     cube = Cube(f1, CubeSpec(CubeAxis.of(REGION, COUNTRY), CubeAxis.of(CATEGORY), (QTY, COUNT)), Expansion.of([(E,)]))
     chart = chart_from_cube(cube, QTY, [(E, "Hungary"), ("Mars",), ("Asia",)], [()])
